@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import mixing
+from annolytics.llm import mixing, urlfilter
 from annolytics.llm.tables import table
 
 
@@ -16,8 +16,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by the trees."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judged(pages).select("page_id", "host", "path", "rule", "verdict", "margin")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op6_url_filters": op6_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
