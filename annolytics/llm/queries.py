@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import mixing, urlfilter
+from annolytics.llm import mixing, simhash, urlfilter
 from annolytics.llm.tables import table
 
 
@@ -22,9 +22,15 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(pages).select("page_id", "host", "path", "rule", "verdict", "margin")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text, of the text with its last third edited, and of the next document."""
+    return simhash.compared(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("next_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op6_url_filters": op6_url_filters,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
