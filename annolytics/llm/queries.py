@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import mixing, simhash, urlfilter
+from annolytics.llm import mixing, packing, simhash, urlfilter
 from annolytics.llm.tables import table
 
 
@@ -27,9 +27,22 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compared(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("next_id")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents packed into sequences of 2048 tokens at most."""
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer=tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op6_url_filters": op6_url_filters,
+    "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
 }
 
