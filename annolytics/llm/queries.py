@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import mixing, packing, simhash, urlfilter
+from annolytics.llm import mixing, packing, setsketch, simhash, urlfilter
 from annolytics.llm.tables import table
 
 
@@ -39,11 +39,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer=tokenizer_path())
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of documents on sets of 4-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return setsketch.near_duplicates(docs, k=4).drop("links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op6_url_filters": op6_url_filters,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
