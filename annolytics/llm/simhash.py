@@ -115,18 +115,21 @@ def edited(docs: DataFrame) -> DataFrame:
     document's row is itself repeated. Null ids are equal to one another and the smallest.
     """
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", key("doc_id"))
+    kind = docs.schema["doc_id"].dataType
+    # texts travel with this key alone, so that both joins read one exchange of them
+    base = docs.select(key("doc_id").alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
     third = F.floor(F.length("text") / 3).cast("int")
     hashed = base.groupBy("_key", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max(third).alias("third"))
     hashed = hashed.groupBy("_key").agg(F.min(F.struct("h", "n")).alias("first"), F.max("third").alias("third"))
-    links = successors(base).select(key("doc_id").alias("_asker"), key("next_id").alias("_next"), "next_id")
+    links = successors(docs).select(key("doc_id").alias("_asker"), key("next_id").alias("_next"), "next_id")
     links = links.join(hashed.select(F.col("_key").alias("_asker"), "third"), "_asker").join(hashed.select(F.col("_key").alias("_next"), "first"), "_next")
     links = written(links, "simhash-next")
-    heads = base.join(links.withColumnRenamed("_next", "_key"), "_key").where(F.xxhash64("text") == F.col("first.h"))
+    heads = base.join(links.withColumnRenamed("_next", "_key"), "_key").where(F.xxhash64("text") <= F.col("first.h"))  # the lowest hash; as an equality it would change the exchange
     heads = heads.select(F.col("_asker").alias("_key"), "next_id", F.expr("substring(text, 1, third)").alias("_head"), F.col("first.n").alias("copies"))
     cut = "cast(floor(length(text) / 3) as int)"
     text = F.concat(F.expr(f"substring(text, 1, length(text) - {cut})"), F.expr(f"substring(_head, 1, {cut})"))
-    return base.join(heads, "_key").select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "next_id", text.alias("edited"), "copies")
+    doc_id = F.when(F.col("_key") != "~", F.col("_key")).cast(kind).alias("doc_id")
+    return base.join(heads, "_key").select(doc_id, "text", F.length("text").cast("long").alias("n_chars"), "next_id", text.alias("edited"), "copies")
 
 
 def compared(docs: DataFrame) -> DataFrame:
