@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annolytics.llm import mixing, packing, setsketch, simhash, urlfilter
+from annolytics.llm import linededup, mixing, packing, setsketch, simhash, urlfilter
 from annolytics.llm.tables import table
 
 
@@ -45,8 +45,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(docs, k=4).drop("links")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without later near-duplicate lines: counts of lines, and a digest of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.deduplicated(docs)
+    return out.select("doc_id", "n_lines", "n_gone", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_url_filters": op6_url_filters,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
