@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annolytics.llm import linededup, mixing, packing, setsketch, simhash, toxicity, urlfilter
+from annolytics.llm import linededup, mixing, packing, setsketch, simhash, topk, toxicity, urlfilter
 from annolytics.llm.tables import table
 
 
@@ -59,7 +59,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every hundredth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
@@ -70,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": topk.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
 }
