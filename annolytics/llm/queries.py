@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annolytics.llm import linededup, mixing, packing, setsketch, simhash, topk, toxicity, urlfilter
+from annolytics.llm import html, linededup, mixing, packing, setsketch, simhash, topk, toxicity, urlfilter
 from annolytics.llm.tables import table
 
 
@@ -64,8 +64,14 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_html_extraction": op2_html_extraction,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
