@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annolytics.llm import html, linededup, mixing, packing, setsketch, simhash, topk, toxicity, urlfilter
+from annolytics.llm import html, license, linededup, mixing, packing, setsketch, simhash, topk, toxicity, urlfilter
 from annolytics.llm.tables import table
 
 
@@ -69,6 +69,12 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that the paragraphs of every document name."""
+    found = license.documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_found", F.array_join("families", ",").alias("families"), "license", "probability")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_html_extraction": op2_html_extraction,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filters": op6_url_filters,
+    "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_near_duplicates": op10_near_duplicates,
