@@ -5,11 +5,13 @@ each of M intervals of equal probability, dealt to the registers by a permutatio
 as floor(1 - log_b(x)). Registers of a union are the maxima of the registers, and two sets agree in a register with a probability
 close to their Jaccard similarity.
 
-Copies (equal sets) are one class. Classes that agree in a band are candidates; in each band they are first compared with one centre
-only, so a group of n near copies costs n comparisons a band, not n * n. Components of those links then tell which members of a band
-are still apart, and only such pairs are compared with one another. So every candidate pair is either verified or known to be
-connected, and the components are those of all links among candidates. With 32 bands of 4 registers a link of similarity 0.8 is no
-candidate with a probability of 5e-8.
+Copies (equal sets) are one class. Classes that agree in a band are candidates; in each band they are first compared with a few
+centres only, so a group of n near copies costs a multiple of n comparisons a band, not n * n. Components of those links then tell
+which members of a band are still apart. Of these, pairs must share one of their rarest shingles (prefix filter: two similar sets
+always do, while texts that are alike only in passages that many share don't), and sizes and parities of registers must allow it; what
+is left is estimated and verified. So every candidate pair is verified, ruled out or known to be connected, and the components are
+those of all links among candidates. With 42 bands of 6 registers a link of similarity 0.8 is no candidate with a probability of 3e-6,
+one of 0.85 with 5e-10.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from annolytics.llm import textnum
 from annolytics.llm.components import components
+from annolytics.llm.linededup import BUCKETS, Keys, bloom, xxhash_slots
 from annolytics.llm.tables import written
 
-M, BANDS, BASE, RATE = 128, 32, 1.001, 20.0
+M, BANDS, ROWS, BASE, RATE = 256, 42, 6, 1.001, 20.0
 LIMIT = 2**16 - 2
+#: Numbers that pick the centres of a band: the members smallest after an exclusive or with each.
+CENTRES = (0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1D8E4E27C47D124F, 0x7FB5D329728EA185)
 #: Standard deviations by which an estimate may miss the threshold before a pair is dropped unverified.
-SLACK = 6.0
+SLACK = 5.0
 
 
 def gammas() -> np.ndarray:
@@ -94,7 +99,7 @@ def signature(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, k: int) -> DataFrame:
-    """doc_id, n, node (a hash of the set), registers (binary), bands (array<long>), bit0, bit1 (parities of registers)."""
+    """doc_id, n, node (a hash of the set), registers (binary), bands, parities of registers (array<long>)."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -102,42 +107,74 @@ def sketches(docs: DataFrame, *, k: int) -> DataFrame:
             for i, owner, value, size in textnum.document_sets(texts, k):
                 n = len(size)
                 reg = sketch(owner, value, n)
-                wide = reg.reshape(n, BANDS, M // BANDS).astype(np.uint64)
+                wide = reg[:, : BANDS * ROWS].reshape(n, BANDS, ROWS).astype(np.uint64)
                 band = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1)
-                for r in range(M // BANDS):
+                for r in range(ROWS):
                     band = textnum.mix(band * np.uint64(0xBF58476D1CE4E5B9) + wide[:, :, r])
                 parity = np.packbits((reg & 1).astype(np.uint8), axis=1).view(np.int64)
                 yield pd.DataFrame({
                     "doc_id": frame["doc_id"].iloc[i : i + n].astype("Int64").to_numpy(),
                     "n": size.astype(np.int64), "node": signature(owner, value, n), "registers": [r.tobytes() for r in reg],
-                    "bands": list(band.view(np.int64)), "bit0": parity[:, 0], "bit1": parity[:, 1],
+                    "bands": list(band.view(np.int64)), "parities": list(parity),
                 })
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return asked.mapInPandas(make, "doc_id long, n long, node long, registers binary, bands array<long>, bit0 long, bit1 long")
+    return asked.mapInPandas(make, "doc_id long, n long, node long, registers binary, bands array<long>, parities array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, *, k: int) -> DataFrame:
-    """node, elements (binary of sorted 64-bit hashes), one row for each node of wanted (node, doc_id)."""
+    """node, elements (binary of sorted 64-bit hashes), one row for each node of wanted: a map pass that shuffles only what is wanted."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "node"))
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            nodes = frame["node"].to_numpy()
-            for i, owner, value, size in textnum.document_sets(frame["text"].tolist(), k):
+            for _, owner, value, size in textnum.document_sets(frame["text"].tolist(), k):
+                node = signature(owner, value, len(size))
+                slot = xxhash_slots(node)
+                hit = np.flatnonzero((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                hit = hit[np.unique(node[hit], return_index=True)[1]]  # copies in a block once
                 ends = np.cumsum(size)
-                right = signature(owner, value, len(size)) == nodes[i : i + len(size)]
-                yield pd.DataFrame({
-                    "node": nodes[i : i + len(size)][right],
-                    "elements": [value[e - s : e].tobytes() for s, e, r in zip(size.tolist(), ends.tolist(), right.tolist(), strict=True) if r],
-                })
+                yield pd.DataFrame({"node": node[hit], "elements": [value[ends[h] - size[h] : ends[h]].tobytes() for h in hit.tolist()]})
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(make, "node long, elements binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """Sets that hold a shingle, by hash bucket; a table of fixed size a task, tasks as many as cores at most."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for f in frames:
+            for e in f["elements"]:
+                total += np.bincount((np.frombuffer(e, dtype=np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "c": total[at]})
+
+    few = sets.coalesce(max(8, sets.sparkSession.sparkContext.defaultParallelism))
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    for bucket, c in few.select("elements").mapInPandas(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # BUCKETS rows at most
+        out[bucket] = c
+    return out
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """key, place, node: the rarest shingles of each set, of which two similar sets share one."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = Keys(shared.value, percent)
+        for f in frames:
+            n = np.array([len(e) // 8 for e in f["elements"]], dtype=np.int64)
+            owner, element = np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(f["elements"]), dtype=np.uint64)
+            line, key, place = keys(owner, element, n)
+            yield pd.DataFrame({"key": key.view(np.int64), "place": place, "node": f["node"].to_numpy()[line]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # rows that repeat an id hold other sets, or the same set again
-    return texts.join(wanted, "doc_id").select("node", "text").mapInPandas(make, "node long, elements binary").dropDuplicates(["node"])
+    return sets.mapInPandas(make, "key long, place int, node long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, *, percent: int) -> DataFrame:
-    """Of the pairs (src, dst), those whose sizes and estimate don't rule out the threshold."""
+    """Of the pairs (src, dst), those whose sizes and estimate leave the threshold possible."""
     t = percent / 100
     floor = t - SLACK * (t * (1 - t) / M) ** 0.5
 
@@ -151,26 +188,24 @@ def likely(pairs: DataFrame, classes: DataFrame, *, percent: int) -> DataFrame:
 
     side = lambda node, n, r: classes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("registers").alias(r))
     joined = pairs.join(side("src", "na", "ra"), "src").join(side("dst", "nb", "rb"), "dst")
-    near = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     return joined.where(near).select("src", "dst", "na", "nb", "ra", "rb").mapInPandas(keep, "src long, dst long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, *, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
     """Of the pairs (src, dst), those whose full sets have 100 * intersection >= percent * union."""
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            good = []
-            for x, y in zip(f["ea"], f["eb"], strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate([a, b])
+            good = np.zeros(len(f), dtype=bool)
+            for i, (x, y) in enumerate(zip(f["ea"], f["eb"], strict=True)):
+                both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
+                total = len(both)
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield f.loc[np.array(good, dtype=bool), ["src", "dst"]]
+                good[i] = 100 * common >= percent * (total - common)
+            yield f.loc[good, ["src", "dst"]]
 
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(classes.select("node", F.col("first_id").alias("doc_id")), "node")
-    sets = full_sets(docs, ends, k=k)
     side = lambda node, e: sets.select(F.col("node").alias(node), F.col("elements").alias(e))
     joined = pairs.join(side("src", "ea"), "src").join(side("dst", "eb"), "dst")
     return joined.select("src", "dst", "ea", "eb").mapInPandas(keep, "src long, dst long")
@@ -191,32 +226,43 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     real = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     firsts = real.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     classes = real.join(firsts, "node").where(F.col("doc_id") == F.col("first_id")).dropDuplicates(["node"])
-    classes = written(classes.select("node", "first_id", "n", "registers", "bands", "bit0", "bit1"), "classes")
-    banded = classes.select("node", "n", "bit0", "bit1", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "centre")
+    classes = written(classes.select("node", "first_id", "n", "registers", "bands", "parities"), "classes")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    centres = [F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"c{i}") for i, c in enumerate(CENTRES)]
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), *centres).where("c > 1")
+    shared = shared.select("band", F.array_distinct(F.array(*[f"c{i}" for i in range(len(CENTRES))])).alias("centres"))
     banded = written(banded.join(shared, "band"), "bands")
-    star = banded.where("node <> centre").select(F.col("node").alias("src"), F.col("centre").alias("dst")).distinct()
+    members = written(banded.select("node").distinct(), "members")
+    sets = written(full_sets(docs, members, k=k), "sets")
+    star = banded.select("node", F.explode("centres").alias("other")).where("node <> other")
+    star = star.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
     star = written(likely(star, classes, percent=percent), "star")
-    links = written(confirmed(star, docs, classes, k=k, percent=percent), "links")
+    links = written(confirmed(star, sets, percent=percent), "links")
     roots = components(links)
-    # members of a band that are still apart, but for those compared with the centre already
-    held = banded.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # members of a band that are still apart; pairs with its centres are settled
+    held = banded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = held.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    held = written(held.join(mixed, "band"), "apart")
+    held = held.join(mixed, "band").where(~F.array_contains("centres", F.col("node"))).select("node", "root").distinct()
+    bits = [F.element_at("parities", i + 1).alias(f"bit{i}") for i in range(M // 64)]
+    held = written(held.join(classes.select("node", "n", *bits), "node"), "apart")
+    own = sets.join(held.select("node"), "node", "left_semi")
+    keyed = written(prefixes(own, bucket_counts(own), percent).join(held, "node"), "prefixes")
     t = percent / 100
-    most_bits = int(M * (1 - t) / 2 + SLACK * (M * (1 - t) / 2 * (1 + t) / 2) ** 0.5) + 1
-    a, b = held.alias("a"), held.alias("b")
+    odd = (1 - t) / 2  # the share of parities in which registers of similarity t differ, at most
+    most_bits = int(M * odd + SLACK * (M * odd * (1 - odd)) ** 0.5) + 1
+    a, b = keyed.alias("a"), keyed.alias("b")
+    differ = sum((F.bit_count(F.col(f"a.bit{i}").bitwiseXOR(F.col(f"b.bit{i}"))) for i in range(1, M // 64)), F.bit_count(F.col("a.bit0").bitwiseXOR(F.col("b.bit0"))))
+    overlap = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / F.lit(100.0 + percent) - 1e-9)
     apart = (
-        (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root")) & (F.col("a.node") != F.col("b.centre")) & (F.col("b.node") != F.col("a.centre"))
-        & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
-        & (F.bit_count(F.col("a.bit0").bitwiseXOR(F.col("b.bit0"))) + F.bit_count(F.col("a.bit1").bitwiseXOR(F.col("b.bit1"))) <= most_bits)
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (differ <= most_bits)
+        & ((F.col("a.place") == 255) | (F.col("b.place") == 255) | (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= overlap))
     )
     rest = a.join(b, apart).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
     rest = written(likely(rest, classes, percent=percent), "rest")
     if not rest.isEmpty():
-        more = written(confirmed(rest, docs, classes, k=k, percent=percent), "links")
-        links = links.union(more)
+        more = written(confirmed(rest, sets, percent=percent), "links")
         if not more.isEmpty():
+            links = links.union(more)
             roots = components(links)
     ends = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     of_class = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
