@@ -28,7 +28,7 @@ from annolytics.llm.tables import written
 #: Buckets of the word-count table: 2 MB, whatever the input.
 BUCKETS = 1 << 18
 #: Neighbours in a word's list that a class is compared with at once.
-NEAR = 8
+NEAR = 64
 #: Sets of up to SHORT words are joined on pairs of prefix words, longer ones on single words.
 SHORT = 12
 #: Bits of a Bloom bitmap: 8 MB, whatever the input.
