@@ -84,7 +84,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     else:
         at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+    return at[np.lexsort((ids[at], ~scores[at]))[:k]]  # unlike a minus, ~ has no overflow
 
 
 def searched(qid: np.ndarray, q: np.ndarray, qlen: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray, xlen: np.ndarray, k: int) -> list[tuple[int, int, int]]:
