@@ -33,7 +33,7 @@ def mask_personal_data(t: Column, *, mask_mentions: bool = True) -> Column:
     """E-mail, URL, valid CPF, phone, mention, in this order."""
     t = F.regexp_replace(F.regexp_replace(t, EMAIL_PATTERN, EMAIL), URL_PATTERN, URL)
     found = F.array_distinct(F.filter(F.regexp_extract_all(t, F.lit(f"({CPF_PATTERN})"), F.lit(1)), lambda c: validate_cpf(c)))
-    t = F.aggregate(found, t, lambda a, c: F.regexp_replace(a, F.concat(F.lit(r"(?<!\d)"), F.regexp_replace(c, r"\.", r"\\\\."), F.lit(r"(?!\d)")), F.lit(CPF)))
+    t = F.aggregate(found, t, lambda a, c: F.regexp_replace(a, F.concat(F.lit(r"(?<!\d)\Q"), c, F.lit(r"\E(?!\d)")), F.lit(CPF)))
     t = F.regexp_replace(t, PHONE_PATTERN, PHONE)
     return F.regexp_replace(t, MENTION_PATTERN, MENTION) if mask_mentions else t
 
