@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annolytics.functions import privacy, text
-from annolytics.operators import consensus as C, features as X, metrics as M, sampling as S
+from annolytics.functions import labels as L, privacy, text
+from annolytics.operators import consensus as C, errors as E, features as X, metrics as M, sampling as S
 from annolytics.plans import views as V
 from annolytics.plans.registry import query
 
@@ -393,3 +393,88 @@ def neuron_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("separation_scores", f"WITH {_LONG_SQL} SELECT feature, round(avg(label::DOUBLE) FILTER (x > 0) - avg(label::DOUBLE) FILTER (x <= 0), 9) AS separation FROM x GROUP BY 1")
 def separation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.separation_scores(V.table(spark, sf_dir, "embeddings"), "embedding", F.col("label")))
+
+
+# labels, errors, gold references and targets
+
+@query("lexical_labels", rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+c AS (SELECT doc_id, len(list_filter(w, lambda x: list_contains({L.POSITIVE_WORDS}, x))) AS p, len(list_filter(w, lambda x: list_contains({L.NEGATIVE_WORDS}, x))) AS n FROM w)
+SELECT doc_id, CASE WHEN p > n THEN 'positivo' WHEN n > p THEN 'negativo' ELSE 'neutro' END AS label, round(CASE WHEN p + n = 0 THEN 0.0 WHEN p = n THEN 0.5 ELSE greatest(p, n)::DOUBLE / (p + n) END, 9) AS confidence FROM c""")
+def lexical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = L.lexical_label(F.col("text"))
+    return rounded(V.table(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", "x.label", F.col("x.confidence").cast("double").alias("confidence")))
+
+
+@query("label_responses")
+def label_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.format_string('answer: {"label": "%s", "confidence": %.3f}', F.upper("label_oa"), F.col("confidence_oa"))
+    return V.raters(spark, sf_dir).select("id", L.parse_label_response(raw).alias("x")).select("id", "x.label", "x.confidence")
+
+
+_SOURCE_SQL = "CASE WHEN label_oa = label_c AND label_hf = label_c THEN 'acerto' WHEN label_oa = label_c THEN 'erro_do_rotulo_de_treino' WHEN label_hf = label_c THEN 'erro_do_modelo' WHEN label_oa = label_hf THEN 'modelo_reproduz_rotulo_errado' ELSE 'ambos_errados_e_discordam' END"
+
+
+@query("error_sources", f"WITH {V.VALID_SQL}, c AS (SELECT {_SOURCE_SQL} AS source, count(*) AS n FROM valid GROUP BY 1) SELECT source, n, round(n::DOUBLE / sum(n) OVER (), 9) AS share FROM c")
+def error_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.error_sources(_consensus(spark, sf_dir), [], "label_hf", "label_oa", "label_c"))
+
+
+@query("top_errors", f"WITH {V.PREDS_SQL}, r AS (SELECT slice, id, CAST(row_number() OVER (PARTITION BY slice ORDER BY confidence DESC, id) AS INTEGER) AS rank FROM preds WHERE y_true <> pred_a) SELECT * FROM r WHERE rank <= 50")
+def top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.predictions(spark, sf_dir).withColumnRenamed("pred_a", "y_pred")
+    return E.top_errors(p, category="slice", confidence="confidence").select("slice", "id", "rank")
+
+
+@query("length_slices", f"WITH {V.RATERS_SQL}, e AS (SELECT quantile_cont(word_count, 1.0 / 3) AS lo, quantile_cont(word_count, 2.0 / 3) AS hi FROM raters) SELECT CASE WHEN word_count <= lo THEN '1_curto' WHEN word_count <= hi THEN '2_medio' ELSE '3_longo' END AS slice, count(*) AS n FROM raters, e GROUP BY 1")
+def length_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = V.raters(spark, sf_dir)
+    return r.groupBy(E.length_slice(F.col("word_count"), E.length_edges(r, F.col("word_count"))).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("gold_references", f"WITH {V.RATERS_SQL}, a AS (SELECT CAST(id AS VARCHAR) AS id, label_hf AS label FROM raters WHERE label_hf <> 'indefinido'), b AS (SELECT CAST(id AS VARCHAR) AS id, label_oa AS label FROM raters) SELECT 'gold_a' AS reference, id, label FROM a UNION ALL SELECT 'gold_b', id, label FROM b UNION ALL SELECT 'consenso_gold', a.id, a.label FROM a JOIN b USING (id, label)")
+def gold_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = V.raters(spark, sf_dir)
+    return E.gold_references({"gold_a": r.select("id", F.col("label_hf").alias("sentiment_label")), "gold_b": r.select("id", F.col("label_oa").alias("sentiment_label"))}, C.CLASSES)
+
+
+@query("disagreement_target", f"WITH {V.VALID_SQL} SELECT id, CAST(NOT (label_hf = label_oa AND label_oa = label_c) AS INTEGER) AS target FROM valid")
+def disagreement_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.disagreement_target(_consensus(spark, sf_dir), ["label_hf", "label_oa", "label_c"])
+
+
+@query("flag_anomalies", f"WITH {V.PREDS_SQL}, e AS (SELECT quantile_cont(confidence, 0.95) AS edge FROM preds) SELECT id FROM preds, e WHERE confidence > edge")
+def flag_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.flag_anomalies(V.predictions(spark, sf_dir), "confidence", 95).where("is_anomaly").select("id")
+
+
+@query("risk_coverage")
+def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.risk_coverage(V.predictions(spark, sf_dir), "confidence", F.col("y_true") == F.col("pred_a"), (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)))
+
+
+@query("annotation_cross", "SELECT b.item_id, c.concept, position(c.concept IN lower(b.text)) > 0 AS present FROM benchmark b, (VALUES ('the'), ('ing'), ('xyz')) c(concept)")
+def annotation_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concept = F.explode(F.array(F.lit("the"), F.lit("ing"), F.lit("xyz")))
+    b = V.table(spark, sf_dir, "benchmark").select("item_id", "text", concept.alias("concept"))
+    return b.select("item_id", "concept", F.contains(F.lower("text"), F.col("concept")).alias("present"))
+
+
+@query("weighted_label_scores", f"WITH {V.VOTES_SQL} SELECT id, sentiment_label, round(sum(confidence_score * weight), 9) AS score FROM votes GROUP BY ALL")
+def weighted_label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(C.weighted_label_scores(V.votes(spark, sf_dir)))
+
+
+@query("latency_statistics", "SELECT round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99 FROM events")
+def latency_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = lambda x: F.percentile("value", F.lit(x))
+    return rounded(V.table(spark, sf_dir, "events").agg(F.avg("value").alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99")))
+
+
+@query("naive_bayes")
+def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annolytics.operators import models
+
+    d = V.table(spark, sf_dir, "documents").join(V.table(spark, sf_dir, "labels"), "doc_id")
+    d = d.select(F.col("doc_id").alias("id"), "text", F.when(F.col("toxic") == 1, "negativo").when(F.col("quality") == 1, "positivo").otherwise("neutro").alias("sentiment_label"))
+    split = S.stratified_split(d, label_column="sentiment_label")
+    return rounded(models.evaluate(split.where("split = 'treino'"), split.where("split = 'teste'"), "naive_bayes", C.CLASSES))
