@@ -151,10 +151,20 @@ def ordered(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def entries(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """key, node, doc_id, line, meta: the join keys of lines; equal sets of one block of texts give theirs once.
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, first bytes first, so that bytes that hardly vary compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    meta packs 44 parities, the size of the set (4095: that or more) and the place of the key's word.
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int) -> DataFrame:
+    """bucket, n, packed: the join keys of lines, by bucket of the key and block of texts, in packed columns.
+
+    An entry is key, node, doc_id, line and meta: 44 parities, the size of the set (4095: that or more) and the place of the key's
+    word. Equal sets of one block give theirs once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -170,65 +180,107 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 line, key, place = keys(owner, element, n)
                 keep = once[line]
                 line, key, place = line[keep], key[keep], place[keep]
+                if not len(key):
+                    continue
+                bucket = (textnum.mix(key) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                line, key, place, bucket = line[order], key[order], place[order], bucket[order]
                 head = (parity(owner, element, len(n)) << np.uint64(20)) | (np.minimum(n, 4095).astype(np.uint64) << np.uint64(8))
+                columns = [key.view(np.int64), node[line], ids[i + text[line]], number[line], (head[line] | place.astype(np.uint64)).view(np.int64)]
+                cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+                parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pd.DataFrame({
-                    "key": key.view(np.int64), "node": node[line], "doc_id": ids[i + text[line]], "line": number[line],
-                    "meta": (head[line] | place.astype(np.uint64)).view(np.int64),
+                    "bucket": bucket[cuts[:-1]], "n": np.diff(cuts),
+                    "packed": [columns[0][x:y].tobytes() + columns[1][x:y].tobytes() + b"".join(planes(np.ascontiguousarray(c[x:y])) for c in columns[2:]) for x, y in parts],
                 })
 
-    return ordered(docs).mapInPandas(make, "key long, node long, doc_id long, line long, meta long")
-
-
-def near_in_lists(found: DataFrame, percent: int) -> DataFrame:
+    return ordered(docs).mapInPandas(make, "bucket long, n long, packed binary")
+
+
+def unpacked(packed: bytes, n: int) -> np.ndarray:
+    """(n, 5) long: key, node, doc_id, line, meta."""
+    size = 8 * n
+    plain = [np.frombuffer(packed[k * size : (k + 1) * size], dtype=np.int64) for k in (0, 1)]
+    return np.stack([*plain, *(unplanes(packed[k * size : (k + 1) * size]) for k in (2, 3, 4))], axis=1)
+
+
+class Lists:
+    """The lists of a bucket's keys, fed in parts: of a list, the first entry and the NEAR last are held."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.held = np.zeros((0, 5), dtype=np.int64)
+        self.places = np.zeros(0, dtype=np.int64)
+
+    def feed(self, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs of nodes that may be similar, entries of lists of more than NEAR + 1)."""
+        new = new[np.lexsort((new[:, 1], new[:, 3], new[:, 2], new[:, 0]))]
+        x = np.concatenate([self.held, new])
+        order = np.argsort(x[:, 0], kind="stable")  # held entries come before new ones of their key
+        fresh = (np.arange(len(x)) >= len(self.held))[order]
+        known = np.append(self.places, np.full(len(new), -1))[order]
+        x = x[order]
+        key, node, meta = x[:, 0], x[:, 1], x[:, 4].copy().view(np.uint64)
+        at = np.arange(len(x))
+        start = np.append(True, key[1:] != key[:-1])
+        first = np.maximum.accumulate(np.where(start, at, 0))
+        # a new entry's place: after the last held one of its key
+        old = np.cumsum(~fresh)
+        old_before = old - (old - ~fresh)[first]  # held entries of this key up to here
+        last = np.where(old_before > 0, known[np.minimum(first + np.maximum(old_before - 1, 0), len(x) - 1)], -1)
+        place = np.where(fresh, last + 1 + at - first - old_before, known)
+        of = np.flatnonzero(fresh)
+        out = []
+        for lag in range(NEAR + 1):  # 0: the first of the list
+            here = of[place[of] >= max(1, lag)]
+            if not len(here):
+                continue
+            there = first[here] if lag == 0 else here - lag
+            good = there >= first[here]
+            here, there = here[good], there[good]
+            good = (node[there] != node[here]) & possible(meta[here], meta[there], self.percent)
+            a, b = node[here[good]], node[there[good]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        much = of[place[of] > NEAR]
+        turn = of[place[of] == NEAR + 1]  # here a list becomes long: those before it come out too
+        much = np.unique(np.concatenate([much, *[turn - k for k in range(1, NEAR + 2)]]))
+        end = np.minimum.accumulate(np.where(np.append(start[1:], True), at + 1, len(x) + 1)[::-1])[::-1]
+        keep = (at == first) | (end - at <= NEAR)
+        rows = x[much]
+        self.held, self.places = x[keep], place[keep]
+        return pairs, rows
+
+
+def near_in_lists(found: DataFrame, percent: int, *, together: int = 2_000_000) -> DataFrame:
     """src, dst: classes a key brings together that may be similar, each with the first of its list and the NEAR before it.
 
-    Rows of lists with more entries come out as well, with src null, for the comparison with all that are earlier.
+    Rows of longer lists come out as well, with src null, for the comparison with all that are earlier. Buckets are read one by one,
+    `together` entries at a time.
     """
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the first entry of the list that goes on, and the NEAR before this batch
-        rank = 0  # entries of that list so far
+        lists, bucket, parts, n = Lists(percent), None, [], 0
+
+        def done() -> Iterator[pd.DataFrame]:
+            if parts:
+                found, long = lists.feed(np.concatenate(parts))
+                yield pd.DataFrame({"src": pd.array(found[:, 0], dtype="Int64"), "dst": found[:, 1], "key": 0, "doc_id": 0, "line": 0, "meta": 0})
+                if len(long):
+                    yield pd.DataFrame({"src": pd.array([pd.NA] * len(long), dtype="Int64"), "dst": long[:, 1], "key": long[:, 0], "doc_id": long[:, 2], "line": long[:, 3], "meta": long[:, 4]})
+
         for frame in frames:
-            if not len(frame):
-                continue
-            new = frame.to_numpy()  # key, node, doc_id, line, meta: all long
-            x = new if held is None else np.concatenate([held, new])
-            skip = 0 if held is None else len(held)
-            key, node, meta = x[:, 0], x[:, 1], x[:, 4].copy().view(np.uint64)
-            start = np.ones(len(x), dtype=bool)
-            start[1:] = key[1:] != key[:-1]
-            at = np.arange(len(x))
-            first = np.maximum.accumulate(np.where(start, at, 0))
-            place = at - first
-            if held is not None:
-                # the list that goes on began at its first entry, which is held in front
-                on = first == 0
-                place = np.where(on, at - skip + rank, place)
-            out = [(np.array([], dtype=np.int64),) * 2]
-            for lag in (0, *range(1, NEAR + 1)):
-                here = at[skip:][place[skip:] >= max(1, lag)]
-                there = first[here] if lag == 0 else here - lag
-                good = (there >= 0) & (key[there] == key[here]) & (node[there] != node[here])
-                here, there = here[good], there[good]
-                good = possible(meta[here], meta[there], percent)
-                a, b = node[here[good]], node[there[good]]
-                out.append((np.minimum(a, b), np.maximum(a, b)))
-            found = np.unique(np.stack([np.concatenate([o[k] for o in out]) for k in (0, 1)], axis=1), axis=0)
-            yield pd.DataFrame({"src": pd.array(found[:, 0], dtype="Int64"), "dst": found[:, 1], "key": 0, "doc_id": 0, "line": 0, "meta": 0})
-            # lists of more than NEAR + 1: at the entry that makes them so, those before come out too
-            much = at[skip:][place[skip:] > NEAR]
-            turn = much[place[much] == NEAR + 1]
-            much = np.unique(np.concatenate([much, *[np.maximum(turn - k, first[turn]) for k in range(1, NEAR + 2)]]))
-            if len(much):
-                y = x[much]
-                yield pd.DataFrame({"src": pd.array([pd.NA] * len(y), dtype="Int64"), "dst": y[:, 1], "key": y[:, 0], "doc_id": y[:, 2], "line": y[:, 3], "meta": y[:, 4]})
-            last = int(first[-1])
-            rank = int(place[-1]) + 1
-            tail = x[max(last, len(x) - NEAR - 1) :]
-            # in front: the list's first entry, so that positions of the others follow it
-            held = np.concatenate([x[last : last + 1], tail[-NEAR:]]) if len(x) - last > NEAR else x[last:]
-
-    dealt = found.repartition("key").sortWithinPartitions("key", "doc_id", "line", "node")
+            for b, size, packed in zip(frame["bucket"].tolist(), frame["n"].tolist(), frame["packed"], strict=True):
+                if b != bucket or n > together:
+                    yield from done()
+                    parts, n = [], 0
+                    if b != bucket:
+                        lists, bucket = Lists(percent), b
+                parts.append(unpacked(packed, size))
+                n += size
+        yield from done()
+
+    dealt = found.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInPandas(pairs, "src long, dst long, key long, doc_id long, line long, meta long")
 
 
@@ -315,7 +367,8 @@ def gone_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     counts = word_counts(docs)
     lines = written(lines_of(docs), "lines")
     firsts = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("node", "p.*"), "line-firsts")
-    near = written(near_in_lists(entries(docs, counts, percent), percent), "line-pairs")
+    buckets = min(200_000, max(32, lines.count() * 10 // 400_000))  # of about 400,000 entries
+    near = written(near_in_lists(entries(docs, counts, percent, buckets), percent), "line-pairs")
     links = written(similar(near.where("src is not null").select("src", "dst").distinct(), docs, percent), "line-links")
     gone = written(later(links, firsts), "lines-gone")
     rest = near.where("src is null").groupBy("key", F.col("dst").alias("node"), "meta").agg(F.min(F.struct("doc_id", "line")).alias("p"))

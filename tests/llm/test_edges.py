@@ -405,3 +405,22 @@ def test_xxhash_slots_agree_with_spark(shared):
     df = shared.createDataFrame([(x,) for x in v], "n long").select("n", F.pmod(F.xxhash64("n"), F.lit(linededup.BLOOM_BITS)).alias("s"))
     got = {r.n: r.s for r in df.collect()}
     assert [got[x] for x in v] == linededup.xxhash_slots(np.array(v)).tolist()
+
+
+def test_lists_fed_in_parts_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(linededup, "NEAR", 3)
+    monkeypatch.setattr(linededup, "possible", lambda x, y, percent: np.ones(len(x), dtype=bool))
+    rng = np.random.default_rng(11)
+    x = np.stack([rng.choice([1, 2, 3, 4, 4, 4, 4], 400), np.arange(400) % 150, rng.integers(0, 1000, 400), rng.integers(0, 9, 400), np.full(400, 10 << 8)], axis=1)
+    for cuts in ([400], [1, 2, 3, 50, 51, 200, 400], list(range(5, 405, 5))):
+        lists, found, long = linededup.Lists(80), set(), []
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            pairs, rows = lists.feed(x[a:b])
+            found |= set(map(tuple, pairs.tolist()))
+            long += rows.tolist()
+        for key in (1, 2, 3, 4):
+            nodes = {r[1] for r in x.tolist() if r[0] == key}
+            rest = {r[1] for r in long if r[0] == key}
+            for m in nodes:
+                for n in nodes:
+                    assert m >= n or (m, n) in found or (m in rest and n in rest)
