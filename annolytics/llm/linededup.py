@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from annolytics.llm import textnum
-from annolytics.llm.tables import written
+from annolytics.llm.tables import scratch, written
 
 #: Buckets of the word-count table: 2 MB, whatever the input.
 BUCKETS = 1 << 18
@@ -401,7 +401,8 @@ def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     lines is kept; n_chars, if there, is not touched. An empty table gives an empty result. Columns of docs named n_lines or n_gone
     are replaced.
     """
-    gone = written(gone_lines(docs, percent=percent), "gone")
+    with scratch(docs.sparkSession):
+        gone = written(gone_lines(docs, percent=percent), "gone", keep=True)
     hit = in_bloom(docs, "_id", bloom(gone.select(F.col("doc_id").alias("_id")), "_id"))
     every = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     marked = docs.drop("n_lines", "n_gone").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from annolytics.llm import textnum
 from annolytics.llm.components import components
 from annolytics.llm.linededup import BUCKETS, Keys, bloom, xxhash_slots
-from annolytics.llm.tables import written
+from annolytics.llm.tables import scratch, written
 
 M, BANDS, ROWS, BASE, RATE = 256, 42, 6, 1.001, 20.0
 LIMIT = 2**16 - 2
@@ -220,8 +220,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     another text are each linked by their own set. kept: doc_id = component_id, and true without an id. Whole texts count; an empty
     table gives an empty result.
     """
-    from pyspark.sql.types import LongType
+    with scratch(docs.sparkSession):
+        return written(grouped(docs, k=k, percent=percent), "near-duplicates", keep=True)
 
+
+def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
+    """The rows of near_duplicates(), over the tables that it works with."""
     table = written(sketches(docs, k=k), "sketches")
     real = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     firsts = real.groupBy("node").agg(F.min("doc_id").alias("first_id"))
@@ -270,7 +274,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     named = of_class.join(smallest, "root").join(ends, "node", "left").select("node", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     rows = table.select("doc_id", "n", F.when(linked, F.col("node")).alias("node")).join(named, "node", "left")
-    component = F.coalesce("component_id", "doc_id").cast(LongType())
+    component = F.coalesce("component_id", "doc_id").cast("long")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,18 +14,37 @@ from annolytics.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables written since each open scratch() began.
+_open: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """df, written once as Parquet to the cluster's shared folder and read back.
 
     Unlike a reliable checkpoint of a DataFrame it is computed once, compressed and columnar; like it, it survives lost executors.
+    keep: the table outlives an open scratch().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/annolytics/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _open and not keep:
+        _open[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those to keep: what leaves the block must not read any other."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
