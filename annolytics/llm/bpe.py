@@ -27,7 +27,7 @@ def byte_symbols() -> dict[int, str]:
 class ChunkEncoder:
     """bytes of a chunk -> bytes of its ids (little-endian unsigned 32 bits)."""
 
-    def __init__(self, path: str, *, most: int = 400_000):
+    def __init__(self, path: str, *, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,7 +132,7 @@ class ChunkEncoder:
             found = self.tokenizer.encode_batch([c.decode() for c in other], add_special_tokens=False)
             self.memo.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(other, found, strict=True))
 
-    def encode(self, texts: list[str], *, block: int = 4_000_000):
+    def encode(self, texts: list[str], *, block: int = 2_000_000):
         """Yields the bytes of each text's ids, in order; works on `block` characters at a time."""
         i = 0
         while i < len(texts):

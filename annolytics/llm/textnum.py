@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def blocks(texts: list[str | None], size: int = 4_000_000) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def blocks(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first, last + 1, their bytes joined by a space, lengths in bytes) of runs of texts of about `size` characters; null is empty."""
     i = 0
     while i < len(texts):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from annolytics.llm import textnum
 
 #: Documented bound of labelled rows in the index.
-MAX_EXAMPLES = 10_000
+MAX_EXAMPLES = 8_000
 VOCABULARY, STEMS, GRAMS, BLOCK, K = 4096, (4, 5, 6, 7), (5,), 64, 15
 #: Terms are known by their hash in a space of this size, so that counting and looking them up takes tables of fixed size.
 SPACE = 1 << 22
@@ -30,7 +30,7 @@ LEAST_CHI = 24.0
 
 def term_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, texts, owner, hash of each term occurrence) by blocks: words, their first bytes (STEMS) and the grams inside them (GRAMS)."""
-    for i, j, data, lengths in textnum.blocks(texts, 2_000_000):
+    for i, j, data, lengths in textnum.blocks(texts):
         h, start, end = textnum.words(data)
         ends = np.cumsum(lengths + 1)
         owner = np.searchsorted(ends, start, side="right")
