@@ -71,7 +71,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tokens_negation")
 def negation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokenize_and_normalize(F.substring("text", 1, 2000)).alias("tokens"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", text.tokenize_and_normalize(F.col("text")).alias("tokens"))
 
 
 @query("duplicate_key", rf"SELECT doc_id, md5({ws(chr(39).join(['regexp_replace(lower(text), ', '[^\\p{L}\\p{N}\\s]', ', ', ' ', ', ', 'g', ')']))}) AS k FROM documents")
