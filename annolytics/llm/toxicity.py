@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by similarity.
 
 Terms are words, their beginnings and the grams inside them; those that mark toxic examples make up the vocabulary, so the index stays
-small and a text meets only terms that bear on the question. Examples with equal vectors are one, with the mean of their labels. Examples are a bounded, hashed sample of labelled rows; the
+small and a text meets only terms that bear on the question; how rare they are is counted over all documents. Examples with equal vectors are one, with the mean of their labels. Examples are a bounded, hashed sample of labelled rows; the
 index of them is broadcast. For each text the blocks of examples are visited in descending order of what their best member could
 score, until no block can beat the K-th found: the K nearest are exact. A distance-weighted vote of theirs is calibrated by isotonic
 regression on votes that leave each example (and all copies of it) out.
@@ -10,7 +10,7 @@ regression on votes that leave each example (and all copies of it) out.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -206,9 +206,42 @@ class Model:
         return float(np.interp(vote, self.knots, self.values)) if len(self.knots) else self.alone
 
 
-def fit(ids: list[int], texts: list[str | None], labels: np.ndarray) -> Model:
-    """A model from examples; with none, or of one label only, a constant."""
+def document_counts(docs: DataFrame, slots: np.ndarray) -> tuple[int, np.ndarray]:
+    """Documents, and how many of them have a term of each slot, over the whole texts of all of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(slots)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(SPACE, -1, dtype=np.int32)
+        place[shared.value] = np.arange(len(shared.value))
+        total, n = np.zeros(len(shared.value), dtype=np.int64), 0
+        for frame in frames:
+            n += len(frame)
+            for *_, owner, value in term_hashes(frame["text"].tolist()):
+                term = place[(value & np.uint64(SPACE - 1)).astype(np.int64)]
+                hit = np.flatnonzero(term >= 0)
+                total += np.bincount(np.unique(owner[hit] * len(total) + term[hit]) % max(1, len(total)), minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"term": np.append(seen, -1), "c": np.append(total[seen], n)})  # -1: the documents
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "term long, c long")
+    n, out = 0, np.zeros(len(slots), dtype=np.int64)
+    for term, c in found.groupBy("term").agg(F.sum("c")).collect():  # a row a term of the vocabulary at most
+        if term < 0:
+            n = c
+        else:
+            out[term] = c
+    return n, out
+
+
+def fit(ids: list[int], texts: list[str | None], labels: np.ndarray, *, counts: Callable[[np.ndarray], tuple[int, np.ndarray]] | None = None) -> Model:
+    """A model from examples; with none, or of one label only, a constant.
+
+    counts: gives the documents of the corpus, and how many of them have each of some terms; the examples are the corpus without it.
+    """
     words = vocabulary(texts, labels)
+    if counts is not None and len(words.slots):
+        n, of = counts(words.slots)
+        words.idf = np.log((1 + n) / (1 + of)) + 1
     vectors = list(words.vectors(texts))
     alike: dict[bytes, list[int]] = {}
     for i, (terms, weights) in enumerate(vectors):
@@ -220,8 +253,7 @@ def fit(ids: list[int], texts: list[str | None], labels: np.ndarray) -> Model:
     place = np.empty(len(groups), dtype=np.int64)
     place[index.order] = np.arange(len(groups))
     votes, y = [], []
-    step = max(1, len(groups) // 3000)
-    for g, members in list(enumerate(groups))[::step]:
+    for g, members in enumerate(groups):
         # of a few alike all are left out; many alike are evidence for one another
         votes.append(index.vote(*vectors[members[0]], without=np.array([place[g]] if len(members) <= 3 else [], dtype=np.int64)))
         y.append(means[g])
@@ -247,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = MAX_EXAMPLES) -> Mo
     drawn = known.withColumn("_draw", F.xxhash64("doc_id", F.lit(5))).orderBy("_draw", "doc_id").limit(most).drop("_draw")
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # `most` rows of two numbers
     found = rows.toPandas().sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id").head(most)
-    return fit(found["doc_id"].tolist(), [t if isinstance(t, str) else None for t in found["text"]], found["toxic"].to_numpy(dtype=int))
+    return fit(found["doc_id"].tolist(), [t if isinstance(t, str) else None for t in found["text"]], found["toxic"].to_numpy(dtype=int), counts=lambda slots: document_counts(docs, slots))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
