@@ -356,9 +356,26 @@ def tfidf_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.tfidf(_terms(spark, sf_dir)))
 
 
+def _document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and pairs of words of whole documents, by the tokeniser with slang and negation."""
+    terms = text.bound(text.tokenize_and_normalize(F.col("text")), lambda t: X.ngrams(t, (1, 2)))
+    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), terms.alias("terms"))
+
+
+@query("vocabulary_documents")
+def vocabulary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _document_terms(spark, sf_dir)
+    return X.vocabulary(X.term_counts(docs), V.table(spark, sf_dir, "documents").count())
+
+
+@query("tfidf_documents")
+def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(X.tfidf(_document_terms(spark, sf_dir)))
+
+
 @query("ngrams_top")
 def ngrams_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = _terms(spark, sf_dir).select(F.explode(X.ngrams(F.col("terms"), (1, 2))).alias("term"))
+    grams = _document_terms(spark, sf_dir).select(F.explode("terms").alias("term"))
     return grams.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "term").limit(100)
 
 
