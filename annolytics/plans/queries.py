@@ -402,6 +402,11 @@ def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.correlation_pairs(V.table(spark, sf_dir, "embeddings"), "embedding", [0, 1, 2]))
 
 
+@query("feature_correlation_all", f"WITH {_LONG_SQL} SELECT p.feature AS a, q.feature AS b, round(corr(p.x, q.x), 9) AS correlation FROM x p JOIN x q ON p.vec_id = q.vec_id AND p.feature < q.feature GROUP BY 1, 2")
+def feature_correlation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(X.all_correlation_pairs(V.table(spark, sf_dir, "embeddings"), "embedding"))
+
+
 @query("neuron_topk", f"WITH {_LONG_SQL}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY feature ORDER BY x DESC, vec_id) AS INTEGER) AS rank FROM x WHERE x > 0) SELECT feature, rank, vec_id FROM r WHERE rank <= 10")
 def neuron_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.top_activations(V.table(spark, sf_dir, "embeddings"), "embedding", k=10, id_column="vec_id").select("feature", "rank", "vec_id")
