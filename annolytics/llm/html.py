@@ -27,6 +27,8 @@ RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template",
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: What can stand in a head; another start tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript object script style template title".split())
 #: An open element of these ends where one of the second set starts.
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
@@ -105,8 +107,14 @@ def parse(page: str) -> Node:
         if tag == "a":
             linked -= 1
 
+    def leave_head() -> None:
+        while any(open_tag == "head" for open_tag, _ in stack):
+            pop()
+
     at = 0
     for m in TOKEN.finditer(page):
+        if m.start() > at and stack and stack[-1][0] == "head" and page[at : m.start()].strip():
+            leave_head()
         if m.start() > at and not hidden:
             piece = page[at : m.start()]
             run.append(piece)
@@ -116,6 +124,10 @@ def parse(page: str) -> Node:
         tag = m["start"]
         if tag:
             tag = tag.lower()
+            if stack and stack[-1][0] == "head" and tag not in IN_HEAD and tag not in ("html", "head"):
+                leave_head()
+            if tag == "body":
+                leave_head()
             if tag in INLINE:
                 if tag in ("br", "img", "wbr"):
                     if tag == "br" and not hidden:
@@ -148,6 +160,9 @@ def parse(page: str) -> Node:
                 hidden += 1
                 stack.append((tag, Node(tag, NOTHING, block)))
                 block = stack[-1][1]
+                # of these only foreign elements can close themselves
+                if tag in ("svg", "math") and m["attrs"].endswith("/"):
+                    pop()
                 continue
             node = Node(tag, attribute_words(m["attrs"]), block)
             node.start = total
@@ -166,6 +181,8 @@ def parse(page: str) -> Node:
                 # an inline end tag doesn't reach beyond its block
                 if tag in INLINE and stack[depth][1] is not None:
                     break
+    if page[at:].strip() and stack and stack[-1][0] == "head":
+        leave_head()
     if at < len(page) and not hidden:
         run.append(page[at:])
     while stack:
@@ -194,6 +211,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     total = max(1, nodes[0].chars)
     out = np.zeros((len(nodes), len(FEATURES)))
     where = {id(n): i for i, n in enumerate(nodes)}
+    places = {id(c): k for n in nodes for k, c in enumerate(n.down)}
     first_tag = FEATURES.index("is_p")
     first_in = FEATURES.index("in_nav")
     tag_at = {t: first_tag + i for i, t in enumerate(TAGS)}
@@ -213,7 +231,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         spaces = text.count(" ") + 1 if text else 0
         row[:20] = (
             np.log1p(n.chars), np.log1p(spaces), n.chars / spaces if spaces else 0, sum(map(text.count, ".,;:!?")) / spaces if spaces else 0, n.linked / n.chars if n.chars else 0,
-            n.chars / n.tags, n.chars / total, n.depth, siblings.index(n) / len(siblings) if len(siblings) < 50 else 0.5, min(len(siblings), 50),
+            n.chars / n.tags, n.chars / total, n.depth, places.get(id(n), 0) / len(siblings), min(len(siblings), 50),
             n.chars / max(1, n.up.chars) if n.up is not None else 1, min(n.leaves, 50), min(n.links, 50),
             float(bool(own.words & FOR)), float(bool(own.words & AGAINST)),
             0, 0, down_for[i], down_against[i], n.start / total,
