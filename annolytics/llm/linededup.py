@@ -5,13 +5,16 @@ similarity at the threshold or above. Lines of equal sets are one class, represe
 
 1. Word counts, in a table of fixed size (hash buckets), give the order by rarity.
 2. Each class keeps the hashes of its prefix: the rarest words, of which two similar sets must share one.
-3. Sorted by prefix word and place, each class is compared with the first of the word's classes and with the NEAR before it; length,
-   positional and bitmap filters leave few pairs, which are verified on whole sets. In words of more classes than that, those not yet
-   found similar to an earlier one are then compared with all earlier ones. So a word with n similar lines costs a multiple of n
-   comparisons, not n * n, and no pair is lost.
-
-Texts are read by map passes only; the sets of lines to verify and the documents that lose lines are picked out by filters of fixed
-size (Bloom bitmaps) before anything is shuffled.
+3. Sorted by prefix word and place, each class is compared with all earlier ones of the word's list by length, position and 108
+   parities of the sets. Of what these leave possible it keeps the BEST closest, and says where there are more.
+4. Each class is verified on whole sets with its closest candidate, then, if that is not similar, with its others. Classes that are
+   still open and have more candidates than BEST in a list meet those in a second pass. As one similar earlier line settles a
+   class, n similar lines cost a multiple of n verifications.
+5. Lists of more than FULL classes, or of keys too frequent for one task, are first compared with the first of the list and the NEAR
+   before each, and those still open are then joined with all earlier ones by key, a join that Spark may split.
+
+Texts are read by map passes only. The sets of lines to verify and the documents that lose lines are picked out by Bloom bitmaps
+before anything is shuffled; a bitmap has about ten bits an entry up to 128 MB, beyond which it lets through more than needed.
 """
 
 from __future__ import annotations
@@ -25,14 +28,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from annolytics.llm import textnum
 from annolytics.llm.tables import scratch, written
 
-#: Buckets of the word-count table: 2 MB, whatever the input.
-BUCKETS = 1 << 18
-#: Neighbours in a word's list that a class is compared with at once.
+#: Buckets of the word-count table: 8 MB, whatever the input.
+BUCKETS = 1 << 20
+#: Buckets of a row of a task's table.
+CHUNK = 1 << 12
+#: Neighbours in a list of more than FULL that a class is compared with at once.
 NEAR = 64
+#: Classes of a list that are all compared with one another in one task.
+FULL = 4096
+#: Lists of up to SMALL are compared together, longer ones each by itself.
+SMALL = 48
+#: Candidates that a class keeps from a list.
+BEST = 4
+#: Entries of a bucket of keys that a task holds at once: a bucket of more is fed in parts (see Lists).
+TOGETHER = 3_000_000
 #: Sets of up to SHORT words are joined on pairs of prefix words, longer ones on single words.
 SHORT = 12
-#: Bits of a Bloom bitmap: 8 MB, whatever the input.
+#: Bits of a Bloom bitmap: 8 MB unless it is made for a known number of entries.
 BLOOM_BITS = 1 << 26
+#: A bitmap has at most so many bits: 128 MB.
+MOST_BITS = 1 << 30
 #: Stands for a null id in the order of lines: before all others.
 NO_ID = -(1 << 63)
 
@@ -55,27 +70,46 @@ def line_sets(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.nda
         yield i, text[new], number[new], owner, element, np.bincount(owner, minlength=int(new.sum()))
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Lines' distinct words counted by hash bucket, over all documents.
+def table_rows(total: np.ndarray) -> pd.DataFrame:
+    """A task's table of BUCKETS counts as rows of packed parts; parts without counts are left out."""
+    parts = [(a, total[a : a + CHUNK]) for a in range(0, BUCKETS, CHUNK)]
+    return pd.DataFrame([(a, x.astype(np.int64).tobytes()) for a, x in parts if x.any()], columns=["first", "counts"])
+
+
+def table_sums(rows: DataFrame) -> np.ndarray:
+    """The sum of the tables of all tasks (first, counts), of fixed size whatever the input."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, dtype=np.int64) for c in frame["counts"])
+        return pd.DataFrame({"first": [frame["first"].iloc[0]], "counts": [total.tobytes()]})
+
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    for first, c in rows.groupBy("first").applyInPandas(add, "first int, counts binary").collect():  # BUCKETS / CHUNK rows
+        out[first : first + CHUNK] = np.frombuffer(c, dtype=np.int64)
+    return out
 
-    A task gives one table of fixed size; tasks are as many as the cluster's cores at most, so that tables don't outgrow the texts.
+
+def counted(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """(lines' distinct words counted by hash bucket, the lines: node (hash of the set), doc_id, line), from one pass over all documents.
+
+    A task gives one table of fixed size; tasks are as many as four times the cluster's cores at most, so that tables don't outgrow the texts.
     """
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for frame in frames:
-            for *_, element, _ in line_sets(frame["text"].tolist()):
+            ids = frame["doc_id"].to_numpy()
+            for i, text, number, owner, element, n in line_sets(frame["text"].tolist()):
                 total += np.bincount((element & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        for a in range(0, BUCKETS, 1 << 12):
-            yield pd.DataFrame({"first": [a], "counts": [total[a : a + (1 << 12)]]})
+                yield pd.DataFrame({"node": set_hash(element, n), "doc_id": ids[i + text], "line": number, "counts": None})
+        part = table_rows(total)
+        yield pd.DataFrame({"node": 0, "doc_id": 0, "line": -1 - part["first"], "counts": part["counts"]})
 
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    found = docs.select(F.col("text").cast("string").alias("text")).coalesce(max(8, cores)).mapInPandas(count, "first int, counts array<long>")
-    summed = found.select("first", F.posexplode("counts").alias("i", "c")).groupBy((F.col("first") + F.col("i")).alias("bucket")).agg(F.sum("c").alias("c"))
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for bucket, c in summed.where("c > 0").collect():  # BUCKETS rows at most
-        out[bucket] = c
-    return out
+    both = ordered(docs).coalesce(max(32, 4 * cores)).mapInPandas(read, "node long, doc_id long, line long, counts binary")
+    both = written(both, "lines")
+    tables = both.where("line < 0").select((-1 - F.col("line")).cast("int").alias("first"), "counts")
+    return table_sums(tables), both.where("line >= 0").select("node", "doc_id", "line")
 
 
 class Keys:
@@ -110,18 +144,23 @@ class Keys:
         return np.concatenate(lines), np.concatenate(keys), np.concatenate(places)
 
 
-def set_hash(owner: np.ndarray, element: np.ndarray, n: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(n), dtype=np.uint64)
-    np.add.at(total, owner, textnum.mix(element ^ np.uint64(0x5BD1E9955BD1E995)))
+def set_hash(element: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the set of each line, given its elements one line after the other."""
+    if not len(n):
+        return np.zeros(0, dtype=np.int64)
+    total = np.add.reduceat(textnum.mix(element ^ np.uint64(0x5BD1E9955BD1E995)), np.cumsum(n) - n)
     return textnum.mix(total + n.astype(np.uint64)).view(np.int64)
 
 
-def parity(owner: np.ndarray, element: np.ndarray, lines: int) -> np.ndarray:
-    """44 parities of the elements of each line: sets differ in at least as many elements as parities."""
-    bit = np.uint64(1) << (textnum.mix(element) % np.uint64(44))
-    out = np.zeros(lines, dtype=np.uint64)
-    np.bitwise_xor.at(out, owner, bit)
-    return out
+def parities(element: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """108 parities of the elements of each line, as 44 and 64 bits: sets differ in at least as many elements as parities."""
+    if not len(n):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    at = (textnum.mix(element) >> np.uint64(32)) * np.uint64(108) >> np.uint64(32)
+    start, low = np.cumsum(n) - n, at < 44
+    bit = np.uint64(1) << np.where(low, at, at - np.uint64(44))
+    of = lambda mine: np.bitwise_xor.reduceat(np.where(mine, bit, np.uint64(0)), start)
+    return of(low), of(~low)
 
 
 def possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -135,18 +174,6 @@ def possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     return good | (nx == 4095) | (ny == 4095)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """node (hash of the set), doc_id, line: one row a line with words."""
-
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids = frame["doc_id"].to_numpy()
-            for i, text, number, owner, element, n in line_sets(frame["text"].tolist()):
-                yield pd.DataFrame({"node": set_hash(owner, element, n), "doc_id": ids[i + text], "line": number})
-
-    return ordered(docs).mapInPandas(make, "node long, doc_id long, line long")
-
-
 def ordered(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -160,11 +187,12 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
 
 
-def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int) -> DataFrame:
-    """bucket, n, packed: the join keys of lines, by bucket of the key and block of texts, in packed columns.
+def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int, *, only: Bloom | None = None) -> DataFrame:
+    """bucket, n, packed: the join keys of lines (of those in `only`), by bucket of the key and block of texts, in packed columns.
 
-    An entry is key, node, doc_id, line and meta: 44 parities, the size of the set (4095: that or more) and the place of the key's
-    word. Equal sets of one block give theirs once.
+    An entry is key, node, doc_id, line, meta (44 parities, the size of the set (4095: that or more) and the place of the key's word) and
+    far (64 more parities). Equal sets of one block give theirs once. Of a key 40 bits are kept: in a bucket that is enough to tell
+    keys apart, and where it is not, unlike keys share a list.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -173,35 +201,108 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int) ->
         for frame in frames:
             ids = frame["doc_id"].to_numpy()
             for i, text, number, owner, element, n in line_sets(frame["text"].tolist()):
-                node = set_hash(owner, element, n)
+                node = set_hash(element, n)
                 where = np.lexsort((number, ids[i + text], node))  # the first line of each set in this block
                 once = np.zeros(len(node), dtype=bool)
                 once[where[np.append(True, node[where[1:]] != node[where[:-1]])] if len(where) else where] = True
                 line, key, place = keys(owner, element, n)
-                keep = once[line]
-                line, key, place = line[keep], key[keep], place[keep]
+                keep, short = once[line], (key & np.uint64((1 << 40) - 1)).view(np.int64)
+                keep &= True if only is None else only.has(short)
+                line, key, place, short = line[keep], key[keep], place[keep], short[keep]
                 if not len(key):
                     continue
                 bucket = (textnum.mix(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                line, key, place, bucket = line[order], key[order], place[order], bucket[order]
-                head = (parity(owner, element, len(n)) << np.uint64(20)) | (np.minimum(n, 4095).astype(np.uint64) << np.uint64(8))
-                columns = [key.view(np.int64), node[line], ids[i + text[line]], number[line], (head[line] | place.astype(np.uint64)).view(np.int64)]
+                line, short, place, bucket = line[order], short[order], place[order], bucket[order]
+                near, far = parities(element, n)
+                head = (near << np.uint64(20)) | (np.minimum(n, 4095).astype(np.uint64) << np.uint64(8))
+                columns = [
+                    short, node[line], ids[i + text[line]], number[line],
+                    (head[line] | place.astype(np.uint64)).view(np.int64), far[line].view(np.int64),
+                ]
                 cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pd.DataFrame({
                     "bucket": bucket[cuts[:-1]], "n": np.diff(cuts),
-                    "packed": [columns[0][x:y].tobytes() + columns[1][x:y].tobytes() + b"".join(planes(np.ascontiguousarray(c[x:y])) for c in columns[2:]) for x, y in parts],
+                    "packed": [b"".join(planes(np.ascontiguousarray(c[x:y])) for c in columns) for x, y in parts],
                 })
 
     return ordered(docs).mapInPandas(make, "bucket long, n long, packed binary")
 
 
 def unpacked(packed: bytes, n: int) -> np.ndarray:
-    """(n, 5) long: key, node, doc_id, line, meta."""
-    size = 8 * n
-    plain = [np.frombuffer(packed[k * size : (k + 1) * size], dtype=np.int64) for k in (0, 1)]
-    return np.stack([*plain, *(unplanes(packed[k * size : (k + 1) * size]) for k in (2, 3, 4))], axis=1)
+    """(n, 6) long: key, node, doc_id, line, meta, far."""
+    return np.stack([unplanes(packed[8 * n * k : 8 * n * (k + 1)]) for k in range(6)], axis=1)
+
+
+def limits(percent: int) -> np.ndarray:
+    """By the sum of two sizes, how many elements may be in one of the sets only."""
+    total = np.arange(2 * 4095 + 1)
+    out = total - 2 * (-(-percent * total // (100 + percent)))
+    return out.astype(np.int16)
+
+
+def closest(i: np.ndarray, j: np.ndarray, d: np.ndarray, best: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d) of the `best` pairs of each i by d, then j (all, if None), and those i that have more."""
+    if best is None or not len(i):
+        return i, j, d, i[:0]
+    joint = np.sort((i.astype(np.uint64) << np.uint64(40)) | (d.astype(np.uint64) << np.uint64(32)) | j.astype(np.uint64))
+    i = (joint >> np.uint64(40)).astype(np.int64)
+    lead = np.append(True, i[1:] != i[:-1])
+    rank = np.arange(len(i)) - np.maximum.accumulate(np.where(lead, np.arange(len(i)), 0))
+    keep = rank < best
+    return i[keep], (joint[keep] & np.uint64((1 << 32) - 1)).astype(np.int64), ((joint[keep] >> np.uint64(32)) & np.uint64(255)).astype(np.int64), i[rank == best]
+
+
+def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, earlier node, distance of their parities) of the closest possible pairs, and (node, key) where a node has more, within lists.
+
+    x: entries sorted by key, doc_id and line. wanted: which entries look for earlier ones (all, if None).
+    """
+    limit = limits(percent)
+    key, node, meta, far = x[:, 0], x[:, 1], np.ascontiguousarray(x[:, 4]).view(np.uint64), np.ascontiguousarray(x[:, 5]).view(np.uint64)
+    near, size = meta >> np.uint64(20), ((meta >> np.uint64(8)) & np.uint64(4095)).astype(np.int16)
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    length = np.diff(np.append(start, len(x)))
+    place = np.arange(len(x)) - np.repeat(start, length)
+    asks = (np.repeat(length, length) <= SMALL) & (place > 0)
+    asks &= True if wanted is None else wanted
+    found, more = [], []
+
+    def fits(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        most = limit[a + b]
+        return ((d <= most) & (np.abs(a - b) <= most)) | (a == 4095) | (b == 4095)
+
+    def keep(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        i, j, d, rest = closest(i, j, d, best)
+        found.append(np.stack([node[i], node[j], d], axis=1))
+        more.append(x[rest][:, 1::-1])
+
+    of, parts, lag = np.flatnonzero(asks), [], 1
+    while len(of):
+        there = of - lag
+        d = np.bitwise_count(near[of] ^ near[there]) + np.bitwise_count(far[of] ^ far[there])
+        good = np.flatnonzero(fits(d, size[of], size[there]) & (node[of] != node[there]) & (possible(meta[of], meta[there], percent)))
+        parts.append((of[good], there[good], d[good].astype(np.int64)))
+        lag += 1
+        of = of[place[of] >= lag]
+    if parts:
+        keep(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    for a, n in zip(start[length > SMALL].tolist(), length[length > SMALL].tolist(), strict=True):
+        for r in range(0, n, 128):
+            rows, columns = slice(a + r, a + min(n, r + 128)), slice(a, a + min(n, r + 128))
+            d = np.bitwise_count(near[rows, None] ^ near[None, columns]) + np.bitwise_count(far[rows, None] ^ far[None, columns])
+            good = fits(d, size[rows, None], size[None, columns])
+            if wanted is not None:
+                good &= wanted[rows, None]
+            i, j = np.nonzero(good)
+            good = (j < i + r) & (node[a + r + i] != node[a + j])
+            i, j = i[good], j[good]
+            if len(i):
+                keep(i + a + r, j + a, d[i, j].astype(np.int64))
+    if not found:
+        return np.zeros((0, 3), dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
+    return np.concatenate(found), np.concatenate(more)
 
 
 class Lists:
@@ -209,15 +310,16 @@ class Lists:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.held = np.zeros((0, 5), dtype=np.int64)
+        self.held: np.ndarray | None = None
         self.places = np.zeros(0, dtype=np.int64)
 
     def feed(self, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pairs of nodes that may be similar, entries of lists of more than NEAR + 1)."""
         new = new[np.lexsort((new[:, 1], new[:, 3], new[:, 2], new[:, 0]))]
-        x = np.concatenate([self.held, new])
+        held = new[:0] if self.held is None else self.held
+        x = np.concatenate([held, new])
         order = np.argsort(x[:, 0], kind="stable")  # held entries come before new ones of their key
-        fresh = (np.arange(len(x)) >= len(self.held))[order]
+        fresh = (np.arange(len(x)) >= len(held))[order]
         known = np.append(self.places, np.full(len(new), -1))[order]
         x = x[order]
         key, node, meta = x[:, 0], x[:, 1], x[:, 4].copy().view(np.uint64)
@@ -252,144 +354,210 @@ class Lists:
         return pairs, rows
 
 
-def near_in_lists(found: DataFrame, percent: int, *, together: int = 2_000_000) -> DataFrame:
-    """src, dst: classes a key brings together that may be similar, each with the first of its list and the NEAR before it.
+#: Rows of near_in_lists(): a pair of classes; a class (src) with more candidates in a key's list than were kept; an entry (of class src) of a long list.
+PAIR, MORE, LONG = 0, 1, 2
 
-    Rows of longer lists come out as well, with src null, for the comparison with all that are earlier. Buckets are read one by one,
-    `together` entries at a time.
-    """
 
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists, bucket, parts, n = Lists(percent), None, [], 0
+def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, full: int = FULL, together: int = TOGETHER, asked: Bloom | None = None) -> DataFrame:
+    """kind, src, dst, dist, key, doc_id, line, meta, far: what the lists of keys say, see PAIR, MORE and LONG. dist: of parities.
+
+    A bucket is read whole, unless it has more than `together` entries; lists of more than `full` classes are compared in part and come
+    out. asked: only classes in this bitmap look for earlier ones, and long lists do not come out.
+    """
+    names = ["kind", "src", "dst", "dist", "key", "doc_id", "line", "meta", "far"]
+
+    def frame(kind: int, **columns: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"kind": kind, **{c: columns.get(c, 0) for c in names[1:]}}, index=range(len(columns["src"])))
+
+    def of_lists(lists: Lists, x: np.ndarray) -> Iterator[pd.DataFrame]:
+        pairs, long = lists.feed(x)
+        yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1])
+        if len(long):
+            yield frame(LONG, src=long[:, 1], key=long[:, 0], doc_id=long[:, 2], line=long[:, 3], meta=long[:, 4], far=long[:, 5])
+
+    def whole(x: np.ndarray) -> Iterator[pd.DataFrame]:
+        x = x[np.argsort(x[:, 0])]
+        lead = np.append(True, x[1:, 0] != x[:-1, 0])
+        x = x[~(lead & np.append(lead[1:], True))]  # keys of one class only
+        if not len(x):
+            return
+        x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 0]))]
+        start = np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0]))
+        length = np.diff(np.append(start, len(x)))
+        long = np.repeat(length > full, length)
+        if long.any():
+            if asked is None:
+                yield from of_lists(Lists(percent), x[long])
+            x = x[~long]
+        pairs, more = candidates(x, percent, best, None if asked is None else asked.has(x[:, 1]))
+        yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1], dist=pairs[:, 2])
+        yield frame(MORE, src=more[:, 0], key=more[:, 1])
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, lists, parts, n = None, None, [], 0
 
         def done() -> Iterator[pd.DataFrame]:
-            if parts:
-                found, long = lists.feed(np.concatenate(parts))
-                yield pd.DataFrame({"src": pd.array(found[:, 0], dtype="Int64"), "dst": found[:, 1], "key": 0, "doc_id": 0, "line": 0, "meta": 0})
-                if len(long):
-                    yield pd.DataFrame({"src": pd.array([pd.NA] * len(long), dtype="Int64"), "dst": long[:, 1], "key": long[:, 0], "doc_id": long[:, 2], "line": long[:, 3], "meta": long[:, 4]})
+            if parts and lists is not None:
+                if asked is None:
+                    yield from of_lists(lists, np.concatenate(parts))
+            elif parts:
+                yield from whole(np.concatenate(parts))
 
-        for frame in frames:
-            for b, size, packed in zip(frame["bucket"].tolist(), frame["n"].tolist(), frame["packed"], strict=True):
-                if b != bucket or n > together:
+        for f in frames:
+            for b, size, packed in zip(f["bucket"].tolist(), f["n"].tolist(), f["packed"], strict=True):
+                if b != bucket:
+                    yield from done()
+                    bucket, lists, parts, n = b, None, [], 0
+                elif n + size > together:
+                    lists = lists or Lists(percent)
                     yield from done()
                     parts, n = [], 0
-                    if b != bucket:
-                        lists, bucket = Lists(percent), b
                 parts.append(unpacked(packed, size))
                 n += size
         yield from done()
 
     dealt = found.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(pairs, "src long, dst long, key long, doc_id long, line long, meta long")
+    return dealt.mapInPandas(read, "kind byte, src long, dst long, dist int, key long, doc_id long, line long, meta long, far long")
 
 
-def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BLOOM_BITS bits with those of the column's hashes set; 8 MB on the driver, whatever the input."""
-    slot = F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS)) + 1
-    parts = keys.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    out = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for b, bits in parts.collect():
-        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, dtype=np.uint8)
-    return out
+class Bloom:
+    """A broadcast bitmap of hashes of some columns, with about ten bits for each of n entries, MOST_BITS at most."""
 
+    def __init__(self, keys: DataFrame, *columns: str, n: int | None = None):
+        n = keys.count() if n is None else n
+        self.bits = min(MOST_BITS, 1 << max(20, (10 * n).bit_length()))
+        self.shared = keys.sparkSession.sparkContext.broadcast(bloom(keys, *columns, bits=self.bits))
 
-def in_bloom(df: DataFrame, column: str, bits: np.ndarray) -> Column:
-    """Whether the column's value may be in the bitmap: never false where it is."""
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+    def has(self, *values: np.ndarray) -> np.ndarray:
+        """Whether these values may be among the entries: never false where they are."""
+        slot = xxhash_slots(*values, bits=self.bits)
+        return ((self.shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0
 
-    @F.pandas_udf("boolean")
-    def seen(slot: pd.Series) -> pd.Series:
-        s = slot.to_numpy()
-        return pd.Series((shared.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0)
+    def column(self, *columns: str) -> Column:
+        shared = self.shared
 
-    return seen(F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS)))
+        @F.pandas_udf("boolean")
+        def seen(slot: pd.Series) -> pd.Series:
+            s = slot.to_numpy()
+            return pd.Series((shared.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0)
 
+        return seen(F.pmod(F.xxhash64(*columns), F.lit(self.bits)))
 
-def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (src, dst) of nodes, those whose whole sets are similar."""
-    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "line-ends")
-    flat = bloom(ends.select("node"), "node")
-    shared = docs.sparkSession.sparkContext.broadcast(flat)
+
+def bloom(keys: DataFrame, *columns: str, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A bitmap of `bits` bits with those of the columns' hashes set, of known size on the driver."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    parts = keys.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for b, part in parts.collect():
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(part, dtype=np.uint8)
+    return out
+
+
+def whole_sets(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, elements (binary): the sets of the lines of ends (node, doc_id, line), one row a node. Only their lines are read as words."""
+    known = Bloom(ends, "doc_id", "line")
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for _, _, _, owner, element, n in line_sets(frame["text"].tolist()):
-                node = set_hash(owner, element, n)
-                slot = xxhash_slots(node)
-                hit = np.flatnonzero((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-                _, once = np.unique(node[hit], return_index=True)
-                hit = hit[once]
+            parts = [(t or "").split("\n") for t in frame["text"].tolist()]
+            many = np.array([len(p) for p in parts])
+            number = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            hit = np.flatnonzero(known.has(np.repeat(frame["doc_id"].to_numpy(dtype=np.int64), many), number))
+            lines = [line for p in parts for line in p]
+            for _, _, _, owner, element, n in line_sets([lines[h] for h in hit.tolist()]):
+                node = set_hash(element, n)
                 ends = np.cumsum(n)
-                yield pd.DataFrame({"node": node[hit], "elements": [element[ends[h] - n[h] : ends[h]].tobytes() for h in hit.tolist()]})
+                once = np.unique(node, return_index=True)[1]
+                yield pd.DataFrame({"node": node[once], "elements": [element[ends[h] - n[h] : ends[h]].tobytes() for h in once.tolist()]})
+
+    return ordered(docs).mapInPandas(make, "node long, elements binary").join(ends.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (src, dst) of nodes, those whose whole sets are similar."""
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            good = np.zeros(len(f), dtype=bool)
-            for i, (a, b) in enumerate(zip(f["ea"], f["eb"], strict=True)):
-                both = np.concatenate([np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good[i] = 100 * common >= percent * (len(both) - common)
-            yield f.loc[good, ["src", "dst"]]
-
-    sets = ordered(docs).select("text").mapInPandas(make, "node long, elements binary").join(ends, "node", "left_semi").dropDuplicates(["node"])
+            common, total = textnum.in_common(f["ea"].tolist(), f["eb"].tolist())
+            yield f.loc[100 * common >= percent * (total - common), ["src", "dst"]]
+
     side = lambda node, e: sets.select(F.col("node").alias(node), F.col("elements").alias(e))
     joined = pairs.join(side("src", "ea"), "src").join(side("dst", "eb"), "dst")
     return joined.select("src", "dst", "ea", "eb").mapInPandas(keep, "src long, dst long")
 
 
-def xxhash_slots(node: np.ndarray) -> np.ndarray:
-    """pmod(xxhash64(node), BLOOM_BITS) as Spark computes it for a long with seed 42."""
+def xxhash_slots(*values: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
+    """pmod(xxhash64(values...), bits) as Spark computes it for longs with seed 42."""
     p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = np.uint64(42)
     with np.errstate(over="ignore"):
-        h = np.full(len(node), np.uint64(42) + p5 + np.uint64(8), dtype=np.uint64)
-        h ^= turn(node.view(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        h ^= h >> np.uint64(32)
-    return (h & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+        for v in values:
+            h = h + p5 + np.uint64(8) ^ turn(np.ascontiguousarray(v, dtype=np.int64).view(np.uint64) * p2, 31) * p1
+            h = turn(h, 27) * p1 + p4
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            h ^= h >> np.uint64(32)
+    return (h & np.uint64(bits - 1)).astype(np.int64)
 
 
-def later(links: DataFrame, firsts: DataFrame) -> DataFrame:
-    """node: of each similar pair, the class whose first line is the later one."""
+def placed(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """src, dst, pl, pe and the other columns of pairs, in order of place: src is the class whose first line is the later one."""
     side = lambda node, p: firsts.select(F.col("node").alias(node), F.struct("doc_id", "line").alias(p))
-    joined = links.join(side("src", "ps"), "src").join(side("dst", "pd"), "dst")
-    return joined.select(F.when(F.col("ps") > F.col("pd"), F.col("src")).otherwise(F.col("dst")).alias("node")).distinct()
-
-
-def gone_lines(docs: DataFrame, *, percent: int = 80) -> DataFrame:
+    joined = pairs.join(side("src", "ps"), "src").join(side("dst", "pd"), "dst")
+    late = F.col("ps") > F.col("pd")
+    turned = {"src": F.when(late, F.col("src")).otherwise(F.col("dst")), "dst": F.when(late, F.col("dst")).otherwise(F.col("src")), "pl": F.greatest("ps", "pd"), "pe": F.least("ps", "pd")}
+    return joined.select(*[v.alias(k) for k, v in turned.items()], *[c for c in pairs.columns if c not in ("src", "dst")])
+
+
+def settled(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """node: classes with a similar earlier one among the pairs (src, dst, dist), each verified with its closest first, then with its others."""
+    pairs = written(placed(pairs, firsts), "line-candidates")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("node"), "pl.*"), F.struct(F.col("dst").alias("node"), "pe.*"))).alias("e")).select("e.*")
+    sets = written(whole_sets(docs, ends.distinct()), "line-sets")
+    first = written(pairs.groupBy("src").agg(F.min_by("dst", F.struct("dist", "dst")).alias("dst")), "line-closest")
+    gone = written(similar(first, sets, percent).select("src"), "lines-gone")
+    others = pairs.select("src", "dst").join(gone, "src", "left_anti").join(first, ["src", "dst"], "left_anti")
+    return written(gone.union(similar(others, sets, percent).select("src")).distinct().select(F.col("src").alias("node")), "lines-gone")
+
+
+def of_long_lists(rest: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """src, dst, dist: classes of long lists (node, key, meta, far, p) that are not gone yet, with all earlier ones that are possible."""
+    open_ones = rest.join(gone, "node", "left_anti").alias("a")
+    size = lambda s: F.shiftright(F.col(f"{s}.meta"), 8).bitwiseAND(F.lit(4095))
+    place = lambda s: F.col(f"{s}.meta").bitwiseAND(F.lit(255))
+    need = F.ceil(percent * (size("a") + size("b")) / F.lit(100.0 + percent) - 1e-9)
+    differ = F.bit_count(F.shiftrightunsigned(F.col("a.meta").bitwiseXOR(F.col("b.meta")), 20)) + F.bit_count(F.col("a.far").bitwiseXOR(F.col("b.far")))
+    fits = (F.least(size("a"), size("b")) * 100 >= F.greatest(size("a"), size("b")) * percent) & (differ <= size("a") + size("b") - 2 * need)
+    fits = fits & ((place("a") == 255) | (place("b") == 255) | (F.least(size("a") - place("a"), size("b") - place("b")) >= need))
+    fits = fits | (size("a") == 4095) | (size("b") == 4095)
+    pairs = open_ones.join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("b.p") < F.col("a.p")) & (F.col("a.node") != F.col("b.node")) & fits)
+    return pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst"), F.lit(0).alias("dist")).distinct()
+
+
+def gone_lines(docs: DataFrame, *, percent: int = 80, best: int = BEST, full: int = FULL, together: int = TOGETHER) -> DataFrame:
     """doc_id, lines (array of line numbers from 0): the lines that go, for documents that lose any. A null id is NO_ID."""
     if not 60 <= percent <= 100:
         raise ValueError("percent must be 60 to 100")
-    counts = word_counts(docs)
-    lines = written(lines_of(docs), "lines")
-    firsts = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("node", "p.*"), "line-firsts")
+    counts, lines = counted(docs)
+    firsts = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.count(F.lit(1)).alias("c")).select("node", "p.*", "c"), "line-firsts")
     buckets = min(200_000, max(32, lines.count() * 10 // 400_000))  # of about 400,000 entries
-    near = written(near_in_lists(entries(docs, counts, percent, buckets), percent), "line-pairs")
-    links = written(similar(near.where("src is not null").select("src", "dst").distinct(), docs, percent), "line-links")
-    gone = written(later(links, firsts), "lines-gone")
-    rest = near.where("src is null").groupBy("key", F.col("dst").alias("node"), "meta").agg(F.min(F.struct("doc_id", "line")).alias("p"))
-    rest = written(rest, "line-rest")
-    if not rest.isEmpty():
-        open_ones = rest.join(gone, "node", "left_anti").alias("a")
-        size = lambda s: F.shiftright(F.col(f"{s}.meta"), 8).bitwiseAND(F.lit(4095))
-        place = lambda s: F.col(f"{s}.meta").bitwiseAND(F.lit(255))
-        need = F.ceil(percent * (size("a") + size("b")) / F.lit(100.0 + percent) - 1e-9)
-        differ = F.bit_count(F.shiftrightunsigned(F.col("a.meta").bitwiseXOR(F.col("b.meta")), 20))
-        fits = (F.least(size("a"), size("b")) * 100 >= F.greatest(size("a"), size("b")) * percent) & (differ <= size("a") + size("b") - 2 * need)
-        fits = fits & ((place("a") == 255) | (place("b") == 255) | (F.least(size("a") - place("a"), size("b") - place("b")) >= need))
-        fits = fits | (size("a") == 4095) | (size("b") == 4095)
-        pairs = open_ones.join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("b.p") < F.col("a.p")) & (F.col("a.node") != F.col("b.node")) & fits)
-        pairs = pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
-        pairs = written(pairs.join(near.select("src", "dst").where("src is not null").distinct(), ["src", "dst"], "left_anti"), "line-more")
-        if not pairs.isEmpty():
-            gone = written(gone.union(later(similar(pairs, docs, percent), firsts)).distinct(), "lines-gone")
-    first = firsts.select("node", F.struct("doc_id", "line").alias("p"))
-    held = lines.join(first, "node").join(gone.withColumn("gone", F.lit(True)), "node", "left")
-    out = held.where(F.col("gone") | (F.struct("doc_id", "line") != F.col("p")))
+    found = entries(docs, counts, percent, buckets)
+    near = written(near_in_lists(found, percent, best=best, full=full, together=together), "line-pairs")
+    pairs = lambda df: df.where(f"kind = {PAIR}").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("dist").alias("dist"))
+    gone = settled(pairs(near), firsts, docs, percent)
+    rest = near.where(f"kind = {LONG}").groupBy("key", F.col("src").alias("node"), "meta", "far").agg(F.min(F.struct("doc_id", "line")).alias("p"))
+    if not near.where(f"kind = {LONG}").isEmpty():
+        gone = written(gone.union(settled(of_long_lists(written(rest, "line-rest"), gone, percent), firsts, docs, percent)).distinct(), "lines-gone")
+    asked = written(near.where(f"kind = {MORE}").select(F.col("src").alias("node"), "key").distinct().join(gone, "node", "left_anti"), "line-asked")
+    if not asked.isEmpty():  # all their candidates, of which the closest were not similar, from the lists that have more
+        found = entries(docs, counts, percent, buckets, only=Bloom(asked, "key"))
+        again = near_in_lists(found, percent, best=None, full=full, together=together, asked=Bloom(asked, "node"))
+        gone = written(gone.union(settled(pairs(again), firsts, docs, percent)).distinct(), "lines-gone")
+    # lines of classes that are gone, and those of other classes that are not the first
+    hit = firsts.select("node", F.struct("doc_id", "line").alias("p"), "c").join(gone.withColumn("gone", F.lit(True)), "node", "left").where("gone or c > 1")
+    out = lines.join(hit, "node").where(F.col("gone") | (F.struct("doc_id", "line") != F.col("p")))
     return out.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
@@ -403,7 +571,7 @@ def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """
     with scratch(docs.sparkSession):
         gone = written(gone_lines(docs, percent=percent), "gone", keep=True)
-    hit = in_bloom(docs, "_id", bloom(gone.select(F.col("doc_id").alias("_id")), "_id"))
+    hit = Bloom(gone.select(F.col("doc_id").alias("_id")), "_id").column("_id")
     every = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     marked = docs.drop("n_lines", "n_gone").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     marked = marked.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(every)).withColumn("_hit", hit)
