@@ -7,11 +7,12 @@ similarity at the threshold or above. Lines of equal sets are one class, represe
 2. Each class keeps the hashes of its prefix: the rarest words, of which two similar sets must share one.
 3. Sorted by prefix word and place, each class is compared with all earlier ones of the word's list by length, position and 108
    parities of the sets. Of what these leave possible it keeps the BEST closest, and says where there are more.
-4. Each class is verified on whole sets with its closest candidate, then, if that is not similar, with its others. Classes that are
-   still open and have more candidates than BEST in a list meet those in a second pass. As one similar earlier line settles a
-   class, n similar lines cost a multiple of n verifications.
+4. Each class is verified on whole sets with its closest candidate, then, if that is not similar, with its others. As one similar
+   earlier line settles a class, n similar lines cost a multiple of n verifications.
 5. Lists of more than FULL classes, or of keys too frequent for one task, are first compared with the first of the list and the NEAR
-   before each, and those still open are then joined with all earlier ones by key, a join that Spark may split.
+   before each. The classes of these lists that are still open, and those of lists in which a class has more candidates of doubtful
+   closeness, are joined with all earlier ones of their lists by key, a join that Spark may split.
+6. Classes that are open even then and have more candidates elsewhere meet those in a second pass over the texts.
 
 Texts are read by map passes only. The sets of lines to verify and the documents that lose lines are picked out by Bloom bitmaps
 before anything is shuffled; a bitmap has about ten bits an entry up to 128 MB, beyond which it lets through more than needed.
@@ -39,7 +40,11 @@ FULL = 4096
 #: Lists of up to SMALL are compared together, longer ones each by itself.
 SMALL = 48
 #: Candidates that a class keeps from a list.
-BEST = 4
+BEST = 2
+#: Parities by which the closest candidate must stay below those expected just beyond the limit for a class to leave its list without the others.
+SURE = 8
+#: Lines that go are sent to all tasks up to this number (some 32 MB), and joined by document beyond it.
+SENT = 2_000_000
 #: Entries of a bucket of keys that a task holds at once: a bucket of more is fed in parts (see Lists).
 TOGETHER = 3_000_000
 #: Sets of up to SHORT words are joined on pairs of prefix words, longer ones on single words.
@@ -116,7 +121,22 @@ class Keys:
     """Join keys of lines, given the counts that order words by rarity."""
 
     def __init__(self, counts: np.ndarray, percent: int):
-        self.counts, self.percent = counts, percent
+        self.percent = percent
+        # the leading 16 bits of a float: its sign, exponent and seven more bits
+        self.rarity = (counts.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint64)
+
+    def by_rarity(self, owner: np.ndarray, element: np.ndarray) -> np.ndarray:
+        """The elements of each line by ascending rarity (counts to eight bits), then by themselves."""
+        if not len(owner):
+            return element
+        rarity = self.rarity[(element & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        bits = max(1, int(owner[-1]).bit_length())
+        joint = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (rarity << np.uint64(48 - bits)) | (element >> np.uint64(16 + bits))
+        order = np.argsort(joint)
+        joint = joint[order]
+        if (joint[1:] == joint[:-1]).any():  # unlike elements whose leading bits are the same
+            order = np.lexsort((element, rarity, owner))
+        return element[order]
 
     def __call__(self, owner: np.ndarray, element: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, key, place): two similar sets that differ share a key. Of a pair, the smaller set's size decides the kind of key.
@@ -124,8 +144,7 @@ class Keys:
         Up to SHORT words: pairs of words from the n - need + 2 rarest; beyond: single words from the n - need + 1 rarest. Sets a
         little above SHORT have both, as they may meet smaller and larger ones. place: of the word by rarity, 255 for no bound.
         """
-        rarity = self.counts[(element & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        element = element[np.lexsort((element, rarity, owner))]
+        element = self.by_rarity(owner, element)
         first = np.cumsum(n) - n
         need = -(-n * self.percent // 100)
         place = np.arange(len(element)) - first[owner]
@@ -254,12 +273,14 @@ def closest(i: np.ndarray, j: np.ndarray, d: np.ndarray, best: int | None) -> tu
     return i[keep], (joint[keep] & np.uint64((1 << 32) - 1)).astype(np.int64), ((joint[keep] >> np.uint64(32)) & np.uint64(255)).astype(np.int64), i[rank == best]
 
 
-def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(node, earlier node, distance of their parities) of the closest possible pairs, and (node, key) where a node has more, within lists.
+def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Within lists: (node, earlier node, distance of their parities) of the closest possible pairs, (node, key) where a node has more, and
+    the places of all entries of lists in which such a node's closest is not SURE.
 
     x: entries sorted by key, doc_id and line. wanted: which entries look for earlier ones (all, if None).
     """
     limit = limits(percent)
+    expected = 54 * (1 - (1 - 2 / 108) ** np.arange(int(limit.max()) + 2))  # parities in which sets differ, by elements in which they do
     key, node, meta, far = x[:, 0], x[:, 1], np.ascontiguousarray(x[:, 4]).view(np.uint64), np.ascontiguousarray(x[:, 5]).view(np.uint64)
     near, size = meta >> np.uint64(20), ((meta >> np.uint64(8)) & np.uint64(4095)).astype(np.int16)
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -267,7 +288,7 @@ def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray
     place = np.arange(len(x)) - np.repeat(start, length)
     asks = (np.repeat(length, length) <= SMALL) & (place > 0)
     asks &= True if wanted is None else wanted
-    found, more = [], []
+    found, more, unsure = [], [], []
 
     def fits(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         most = limit[a + b]
@@ -277,6 +298,9 @@ def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray
         i, j, d, rest = closest(i, j, d, best)
         found.append(np.stack([node[i], node[j], d], axis=1))
         more.append(x[rest][:, 1::-1])
+        lead = np.flatnonzero(np.append(True, i[1:] != i[:-1]) & np.isin(i, rest))
+        i, j, d = i[lead], j[lead], d[lead]
+        unsure.append(i[(d > expected[limit[size[i] + size[j]] + 1] - SURE) | (size[i] == 4095) | (size[j] == 4095)])
 
     of, parts, lag = np.flatnonzero(asks), [], 1
     while len(of):
@@ -301,8 +325,10 @@ def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray
             if len(i):
                 keep(i + a + r, j + a, d[i, j].astype(np.int64))
     if not found:
-        return np.zeros((0, 3), dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
-    return np.concatenate(found), np.concatenate(more)
+        return np.zeros((0, 3), dtype=np.int64), np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    open_lists = np.zeros(len(start), dtype=bool)
+    open_lists[(np.cumsum(place == 0) - 1)[np.concatenate(unsure)]] = True
+    return np.concatenate(found), np.concatenate(more), np.flatnonzero(np.repeat(open_lists, length))
 
 
 class Lists:
@@ -354,7 +380,8 @@ class Lists:
         return pairs, rows
 
 
-#: Rows of near_in_lists(): a pair of classes; a class (src) with more candidates in a key's list than were kept; an entry (of class src) of a long list.
+#: Rows of near_in_lists(): a pair of classes; a class (src) with more candidates in a key's list than were kept; an entry (of class src) of a long list,
+#: or of one in which a class has more candidates and is not sure to be similar to the closest.
 PAIR, MORE, LONG = 0, 1, 2
 
 
@@ -362,18 +389,20 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
     """kind, src, dst, dist, key, doc_id, line, meta, far: what the lists of keys say, see PAIR, MORE and LONG. dist: of parities.
 
     A bucket is read whole, unless it has more than `together` entries; lists of more than `full` classes are compared in part and come
-    out. asked: only classes in this bitmap look for earlier ones, and long lists do not come out.
+    out. best: None for all candidates. asked: only classes in this bitmap look for earlier ones, and long lists do not come out.
     """
     names = ["kind", "src", "dst", "dist", "key", "doc_id", "line", "meta", "far"]
 
     def frame(kind: int, **columns: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"kind": kind, **{c: columns.get(c, 0) for c in names[1:]}}, index=range(len(columns["src"])))
 
+    def of_entries(x: np.ndarray) -> pd.DataFrame:
+        return frame(LONG, src=x[:, 1], key=x[:, 0], doc_id=x[:, 2], line=x[:, 3], meta=x[:, 4], far=x[:, 5])
+
     def of_lists(lists: Lists, x: np.ndarray) -> Iterator[pd.DataFrame]:
         pairs, long = lists.feed(x)
         yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1])
-        if len(long):
-            yield frame(LONG, src=long[:, 1], key=long[:, 0], doc_id=long[:, 2], line=long[:, 3], meta=long[:, 4], far=long[:, 5])
+        yield of_entries(long)
 
     def whole(x: np.ndarray) -> Iterator[pd.DataFrame]:
         x = x[np.argsort(x[:, 0])]
@@ -382,6 +411,8 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
         if not len(x):
             return
         x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 0]))]
+        same = textnum.mix(textnum.mix(x[:, 0].view(np.uint64)) + x[:, 1].view(np.uint64))  # of a class in a list the first entry stays
+        x = x[np.sort(np.unique(same, return_index=True)[1])]
         start = np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0]))
         length = np.diff(np.append(start, len(x)))
         long = np.repeat(length > full, length)
@@ -389,9 +420,10 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
             if asked is None:
                 yield from of_lists(Lists(percent), x[long])
             x = x[~long]
-        pairs, more = candidates(x, percent, best, None if asked is None else asked.has(x[:, 1]))
+        pairs, more, unsure = candidates(x, percent, best, None if asked is None else asked.has(x[:, 1]))
         yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1], dist=pairs[:, 2])
         yield frame(MORE, src=more[:, 0], key=more[:, 1])
+        yield of_entries(x[unsure])
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, lists, parts, n = None, None, [], 0
@@ -513,9 +545,9 @@ def placed(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def settled(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """node: classes with a similar earlier one among the pairs (src, dst, dist), each verified with its closest first, then with its others."""
-    pairs = written(placed(pairs, firsts), "line-candidates")
+    pairs = written(placed(written(pairs, "line-near"), firsts), "line-candidates")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("node"), "pl.*"), F.struct(F.col("dst").alias("node"), "pe.*"))).alias("e")).select("e.*")
-    sets = written(whole_sets(docs, ends.distinct()), "line-sets")
+    sets = written(whole_sets(docs, written(ends.distinct(), "line-ends")), "line-sets")
     first = written(pairs.groupBy("src").agg(F.min_by("dst", F.struct("dist", "dst")).alias("dst")), "line-closest")
     gone = written(similar(first, sets, percent).select("src"), "lines-gone")
     others = pairs.select("src", "dst").join(gone, "src", "left_anti").join(first, ["src", "dst"], "left_anti")
@@ -524,7 +556,7 @@ def settled(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int)
 
 def of_long_lists(rest: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     """src, dst, dist: classes of long lists (node, key, meta, far, p) that are not gone yet, with all earlier ones that are possible."""
-    open_ones = rest.join(gone, "node", "left_anti").alias("a")
+    open_ones = written(rest.join(gone, "node", "left_anti"), "line-open").alias("a")
     size = lambda s: F.shiftright(F.col(f"{s}.meta"), 8).bitwiseAND(F.lit(4095))
     place = lambda s: F.col(f"{s}.meta").bitwiseAND(F.lit(255))
     need = F.ceil(percent * (size("a") + size("b")) / F.lit(100.0 + percent) - 1e-9)
@@ -547,21 +579,23 @@ def gone_lines(docs: DataFrame, *, percent: int = 80, best: int = BEST, full: in
     near = written(near_in_lists(found, percent, best=best, full=full, together=together), "line-pairs")
     pairs = lambda df: df.where(f"kind = {PAIR}").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("dist").alias("dist"))
     gone = settled(pairs(near), firsts, docs, percent)
-    rest = near.where(f"kind = {LONG}").groupBy("key", F.col("src").alias("node"), "meta", "far").agg(F.min(F.struct("doc_id", "line")).alias("p"))
-    if not near.where(f"kind = {LONG}").isEmpty():
-        gone = written(gone.union(settled(of_long_lists(written(rest, "line-rest"), gone, percent), firsts, docs, percent)).distinct(), "lines-gone")
-    asked = written(near.where(f"kind = {MORE}").select(F.col("src").alias("node"), "key").distinct().join(gone, "node", "left_anti"), "line-asked")
+    long = near.where(f"kind = {LONG}")
+    if not long.isEmpty():
+        rest = written(long.groupBy("key", F.col("src").alias("node"), "meta", "far").agg(F.min(F.struct("doc_id", "line")).alias("p")), "line-rest")
+        gone = written(gone.union(settled(of_long_lists(rest, gone, percent), firsts, docs, percent)).distinct(), "lines-gone")
+    asked = near.where(f"kind = {MORE}").select(F.col("src").alias("node"), "key").distinct().join(gone, "node", "left_anti")
+    asked = written(asked.join(long.select("key").distinct(), "key", "left_anti"), "line-asked")
     if not asked.isEmpty():  # all their candidates, of which the closest were not similar, from the lists that have more
         found = entries(docs, counts, percent, buckets, only=Bloom(asked, "key"))
         again = near_in_lists(found, percent, best=None, full=full, together=together, asked=Bloom(asked, "node"))
         gone = written(gone.union(settled(pairs(again), firsts, docs, percent)).distinct(), "lines-gone")
     # lines of classes that are gone, and those of other classes that are not the first
     hit = firsts.select("node", F.struct("doc_id", "line").alias("p"), "c").join(gone.withColumn("gone", F.lit(True)), "node", "left").where("gone or c > 1")
-    out = lines.join(hit, "node").where(F.col("gone") | (F.struct("doc_id", "line") != F.col("p")))
+    out = lines.join(written(hit, "line-hit"), "node").where(F.col("gone") | (F.struct("doc_id", "line") != F.col("p")))
     return out.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
+def deduplicated(docs: DataFrame, *, percent: int = 80, sent: int = SENT) -> DataFrame:
     """docs with later near-duplicate lines taken out of text; n_lines and n_gone (lines before, and taken out) added.
 
     Lines end at line feeds; those without words stay. Rows without an id come first; rows that repeat an id have their lines in the
@@ -571,16 +605,21 @@ def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """
     with scratch(docs.sparkSession):
         gone = written(gone_lines(docs, percent=percent), "gone", keep=True)
-    hit = Bloom(gone.select(F.col("doc_id").alias("_id")), "_id").column("_id")
-    every = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     marked = docs.drop("n_lines", "n_gone").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    marked = marked.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(every)).withColumn("_hit", hit)
-    whole = marked.where(~F.col("_hit")).withColumn("n_gone", F.lit(0).cast("long")).drop("_id", "_hit")
-    some = marked.where("_hit").join(gone.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines")), "_id", "left")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    marked = marked.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(breaks + 1).cast("long"))
+    lost_lines = gone.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
+    if (gone.agg(F.sum(F.size("lines"))).first()[0] or 0) <= sent:
+        some, whole = marked.join(F.broadcast(lost_lines), "_id", "left"), None  # of checked size
+    else:  # only texts that may lose lines move
+        marked = marked.withColumn("_hit", Bloom(lost_lines, "_id").column("_id"))
+        whole = marked.where(~F.col("_hit")).withColumn("n_gone", F.lit(0).cast("long")).drop("_id", "_hit")
+        some = marked.where("_hit").drop("_hit").join(lost_lines, "_id", "left")
     every = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("n_lines") - 1), F.col("_lines"))
     cut = F.array_join(F.transform(stay, lambda i: F.element_at(every, (i + 1).cast("int"))), "\n")
     lost = F.col("_lines").isNotNull() & F.col("text").isNotNull() & (F.col("n_lines") > 0)
     # of rows that repeat an id, each has only those of the numbers that its text has
     some = some.withColumn("n_gone", F.when(lost, F.col("n_lines") - F.size(stay)).otherwise(0).cast("long")).withColumn("text", F.when(lost, cut).otherwise(F.col("text")))
-    return whole.unionByName(some.drop("_id", "_hit", "_lines"))
+    some = some.drop("_id", "_lines")
+    return some if whole is None else whole.unionByName(some)
