@@ -5,12 +5,12 @@ each of M intervals of equal probability, dealt to the registers by a permutatio
 as floor(1 - log_b(x)). Registers of a union are the maxima of the registers, and two sets agree in a register with a probability
 close to their Jaccard similarity.
 
-Copies (equal sets) are one class. Classes that agree in a band are candidates; in each band they are first compared with a few
-centres only, so a group of n near copies costs a multiple of n comparisons a band, not n * n. Components of those links then tell
-which members of a band are still apart. Of these, pairs must share one of their rarest shingles (prefix filter: two similar sets
-always do, while texts that are alike only in passages that many share don't), and sizes and parities of registers must allow it; what
-is left is estimated and verified. So every candidate pair is verified, ruled out or known to be connected, and the components are
-those of all links among candidates. With 42 bands of 6 registers a link of similarity 0.8 is no candidate with a probability of 3e-6,
+Copies (equal sets) are one class. Classes that agree in a band are candidates. In each of a few rounds a class is compared with one
+other class only, a centre of one of its bands that it is not connected to yet, and the links found are contracted: a group of n near
+copies costs a multiple of n comparisons, not n * n. Then members of a band that are still apart must share one of their rarest
+shingles (prefix filter: two similar sets always do, while texts that are alike only in passages that many share don't), and sizes and
+parities of registers must allow it; what is left is estimated and verified. So every candidate pair is verified, ruled out or known
+to be connected, and the components are those of all links among candidates. With 42 bands of 6 registers a link of similarity 0.8 is no candidate with a probability of 3e-6,
 one of 0.85 with 5e-10.
 """
 
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from annolytics.llm import textnum
 from annolytics.llm.components import components
-from annolytics.llm.linededup import BUCKETS, Keys, bloom, xxhash_slots
+from annolytics.llm.linededup import BUCKETS, Bloom, Keys, table_rows, table_sums
 from annolytics.llm.tables import scratch, written
 
 M, BANDS, ROWS, BASE, RATE = 256, 42, 6, 1.001, 20.0
 LIMIT = 2**16 - 2
-#: Numbers that pick the centres of a band: the members smallest after an exclusive or with each.
-CENTRES = (0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1D8E4E27C47D124F, 0x7FB5D329728EA185)
+#: Numbers that pick the centre of a band in each round: the component smallest after an exclusive or with it.
+CENTRES = (0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D)
 #: Standard deviations by which an estimate may miss the threshold before a pair is dropped unverified.
 SLACK = 5.0
 
@@ -124,14 +124,13 @@ def sketches(docs: DataFrame, *, k: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, *, k: int) -> DataFrame:
     """node, elements (binary of sorted 64-bit hashes), one row for each node of wanted: a map pass that shuffles only what is wanted."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "node"))
+    known = Bloom(wanted, "node")
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, owner, value, size in textnum.document_sets(frame["text"].tolist(), k):
                 node = signature(owner, value, len(size))
-                slot = xxhash_slots(node)
-                hit = np.flatnonzero((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(known.has(node))
                 hit = hit[np.unique(node[hit], return_index=True)[1]]  # copies in a block once
                 ends = np.cumsum(size)
                 yield pd.DataFrame({"node": node[hit], "elements": [value[ends[h] - size[h] : ends[h]].tobytes() for h in hit.tolist()]})
@@ -141,21 +140,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, k: int) -> DataFrame:
 
 
 def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """Sets that hold a shingle, by hash bucket; a table of fixed size a task, tasks as many as cores at most."""
+    """Sets that hold a shingle, by hash bucket; a table of fixed size a task, tasks as many as four times the cores at most."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for f in frames:
             for e in f["elements"]:
                 total += np.bincount((np.frombuffer(e, dtype=np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "c": total[at]})
+        yield table_rows(total)
 
-    few = sets.coalesce(max(8, sets.sparkSession.sparkContext.defaultParallelism))
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for bucket, c in few.select("elements").mapInPandas(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # BUCKETS rows at most
-        out[bucket] = c
-    return out
+    cores = sets.sparkSession.sparkContext.defaultParallelism
+    return table_sums(sets.select("elements").coalesce(max(32, 4 * cores)).mapInPandas(count, "first int, counts binary"))
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
@@ -197,14 +192,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            good = np.zeros(len(f), dtype=bool)
-            for i, (x, y) in enumerate(zip(f["ea"], f["eb"], strict=True)):
-                both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
-                total = len(both)
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good[i] = 100 * common >= percent * (total - common)
-            yield f.loc[good, ["src", "dst"]]
+            common, total = textnum.in_common(f["ea"].tolist(), f["eb"].tolist())
+            yield f.loc[100 * common >= percent * (total - common), ["src", "dst"]]
 
     side = lambda node, e: sets.select(F.col("node").alias(node), F.col("elements").alias(e))
     joined = pairs.join(side("src", "ea"), "src").join(side("dst", "eb"), "dst")
@@ -232,21 +221,24 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     classes = real.join(firsts, "node").where(F.col("doc_id") == F.col("first_id")).dropDuplicates(["node"])
     classes = written(classes.select("node", "first_id", "n", "registers", "bands", "parities"), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    centres = [F.min(F.col("node").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)).alias(f"c{i}") for i, c in enumerate(CENTRES)]
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), *centres).where("c > 1")
-    shared = shared.select("band", F.array_distinct(F.array(*[f"c{i}" for i in range(len(CENTRES))])).alias("centres"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band")
     banded = written(banded.join(shared, "band"), "bands")
-    members = written(banded.select("node").distinct(), "members")
-    sets = written(full_sets(docs, members, k=k), "sets")
-    star = banded.select("node", F.explode("centres").alias("other")).where("node <> other")
-    star = star.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
-    star = written(likely(star, classes, percent=percent), "star")
-    links = written(confirmed(star, sets, percent=percent), "links")
-    roots = components(links)
-    # members of a band that are still apart; pairs with its centres are settled
-    held = banded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = held.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    held = held.join(mixed, "band").where(~F.array_contains("centres", F.col("node"))).select("node", "root").distinct()
+    sets = written(full_sets(docs, written(banded.select("node").distinct(), "members"), k=k), "sets")
+    links = docs.sparkSession.createDataFrame([], "src long, dst long")
+    roots = links.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+    for turn in CENTRES:
+        held = apart(banded, roots, turn)
+        # of its bands' centres a class meets one that it is not connected to
+        star = held.where("root <> centre_root").groupBy("node").agg(F.min(F.struct(F.col("centre_root").bitwiseXOR(F.lit(turn)).alias("o"), F.col("centre").alias("other"))).alias("x"))
+        star = written(star.select(F.least("node", "x.other").alias("src"), F.greatest("node", "x.other").alias("dst")).distinct(), "star")
+        if star.isEmpty():
+            break
+        found = written(confirmed(written(likely(star, classes, percent=percent), "likely"), sets, percent=percent), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = components(links)
+    # members of a band that are still apart
+    held = apart(banded, roots, 0).select("node", "root").distinct()
     bits = [F.element_at("parities", i + 1).alias(f"bit{i}") for i in range(M // 64)]
     held = written(held.join(classes.select("node", "n", *bits), "node"), "apart")
     own = sets.join(held.select("node"), "node", "left_semi")
@@ -257,11 +249,11 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     a, b = keyed.alias("a"), keyed.alias("b")
     differ = sum((F.bit_count(F.col(f"a.bit{i}").bitwiseXOR(F.col(f"b.bit{i}"))) for i in range(1, M // 64)), F.bit_count(F.col("a.bit0").bitwiseXOR(F.col("b.bit0"))))
     overlap = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / F.lit(100.0 + percent) - 1e-9)
-    apart = (
+    open_pair = (
         (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (differ <= most_bits)
         & ((F.col("a.place") == 255) | (F.col("b.place") == 255) | (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= overlap))
     )
-    rest = a.join(b, apart).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
+    rest = a.join(b, open_pair).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
     rest = written(likely(rest, classes, percent=percent), "rest")
     if not rest.isEmpty():
         more = written(confirmed(rest, sets, percent=percent), "links")
@@ -278,6 +270,15 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+def apart(banded: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """node, root, band, and for bands of several components their centre (centre_root, and a class of it, centre), the smallest root
+    after an exclusive or with turn."""
+    held = banded.select("node", "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("root").bitwiseXOR(F.lit(turn)).alias("o"), "node", "root")
+    mixed = held.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(order).alias("c")).where("lo <> hi")
+    return held.join(mixed.select("band", F.col("c.root").alias("centre_root"), F.col("c.node").alias("centre")), "band")
+
+
 def kept_documents(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one document of each group of near duplicates; columns as they are."""
     found = near_duplicates(docs, k=k, percent=percent).where("kept").select("doc_id").where(F.col("doc_id").isNotNull())
