@@ -5,9 +5,8 @@ each of M intervals of equal probability, dealt to the registers by a permutatio
 as floor(1 - log_b(x)). Registers of a union are the maxima of the registers, and two sets agree in a register with a probability
 close to their Jaccard similarity.
 
-Copies (equal sets) are one class. Classes that agree in a band are candidates. In each of a few rounds a class is compared with one
-other class only, a centre of one of its bands that it is not connected to yet, and the links found are contracted: a group of n near
-copies costs a multiple of n comparisons, not n * n. Then members of a band that are still apart must share one of their rarest
+Copies (equal sets) are one class. Classes that agree in a band are candidates. In each of a few rounds a class is compared with a few
+others only, centres of its bands that it is not connected to yet, and the links found are contracted: a group of n near copies costs a multiple of n comparisons, not n * n. Then members of a band that are still apart must share one of their rarest
 shingles (prefix filter: two similar sets always do, while texts that are alike only in passages that many share don't), and sizes and
 parities of registers must allow it; what is left is estimated and verified. So every candidate pair is verified, ruled out or known
 to be connected, and the components are those of all links among candidates. With 42 bands of 6 registers a link of similarity 0.8 is no candidate with a probability of 3e-6,
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from annolytics.llm import textnum
 from annolytics.llm.components import components
@@ -31,6 +30,10 @@ M, BANDS, ROWS, BASE, RATE = 256, 42, 6, 1.001, 20.0
 LIMIT = 2**16 - 2
 #: Numbers that pick the centre of a band in each round: the component smallest after an exclusive or with it.
 CENTRES = (0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D)
+#: Centres that a class is compared with in a round.
+MEET = 4
+#: Keys that a class carries to tell at which of them it meets another first.
+KNOWN = 12
 #: Standard deviations by which an estimate may miss the threshold before a pair is dropped unverified.
 SLACK = 5.0
 
@@ -228,9 +231,10 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     roots = links.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     for turn in CENTRES:
         held = apart(banded, roots, turn)
-        # of its bands' centres a class meets one that it is not connected to
-        star = held.where("root <> centre_root").groupBy("node").agg(F.min(F.struct(F.col("centre_root").bitwiseXOR(F.lit(turn)).alias("o"), F.col("centre").alias("other"))).alias("x"))
-        star = written(star.select(F.least("node", "x.other").alias("src"), F.greatest("node", "x.other").alias("dst")).distinct(), "star")
+        # a class meets those centres of other components that most of its bands have
+        star = held.where("root <> centre_root").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("c"))
+        star = star.withColumn("at", F.row_number().over(W.partitionBy("node").orderBy(F.col("c").desc(), "centre"))).where(F.col("at") <= MEET)
+        star = written(star.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct(), "star")
         if star.isEmpty():
             break
         found = written(confirmed(written(likely(star, classes, percent=percent), "likely"), sets, percent=percent), "links")
@@ -242,7 +246,10 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     bits = [F.element_at("parities", i + 1).alias(f"bit{i}") for i in range(M // 64)]
     held = written(held.join(classes.select("node", "n", *bits), "node"), "apart")
     own = sets.join(held.select("node"), "node", "left_semi")
-    keyed = written(prefixes(own, bucket_counts(own), percent).join(held, "node"), "prefixes")
+    keyed = written(prefixes(own, bucket_counts(own), percent), "prefixes")
+    # a pair comes out at the smallest key that both are known to have, not at each
+    few = keyed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KNOWN).alias("small"))
+    keyed = written(keyed.join(held, "node").join(few, "node"), "keyed")
     t = percent / 100
     odd = (1 - t) / 2  # the share of parities in which registers of similarity t differ, at most
     most_bits = int(M * odd + SLACK * (M * odd * (1 - odd)) ** 0.5) + 1
@@ -252,6 +259,7 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     open_pair = (
         (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (differ <= most_bits)
         & ((F.col("a.place") == 255) | (F.col("b.place") == 255) | (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= overlap))
+        & (F.coalesce(F.array_min(F.array_intersect("a.small", "b.small")), F.col("a.key")) >= F.col("a.key"))
     )
     rest = a.join(b, open_pair).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
     rest = written(likely(rest, classes, percent=percent), "rest")
