@@ -247,8 +247,9 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     held = written(held.join(classes.select("node", "n", *bits), "node"), "apart")
     own = sets.join(held.select("node"), "node", "left_semi")
     keyed = written(prefixes(own, bucket_counts(own), percent), "prefixes")
-    # a pair comes out at the smallest key that both are known to have, not at each
-    few = keyed.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KNOWN).alias("small"))
+    # a pair comes out at the first key by rarity that both are known to have, the one that the positional filter is about, not at each
+    first = F.slice(F.sort_array(F.collect_set(F.struct("place", "key"))), 1, KNOWN)
+    few = keyed.groupBy("node").agg(F.transform(first, lambda x: x["key"]).alias("first"))
     keyed = written(keyed.join(held, "node").join(few, "node"), "keyed")
     t = percent / 100
     odd = (1 - t) / 2  # the share of parities in which registers of similarity t differ, at most
@@ -259,7 +260,7 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     open_pair = (
         (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (differ <= most_bits)
         & ((F.col("a.place") == 255) | (F.col("b.place") == 255) | (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= overlap))
-        & (F.coalesce(F.array_min(F.array_intersect("a.small", "b.small")), F.col("a.key")) >= F.col("a.key"))
+        & (F.coalesce(F.get(F.array_intersect("a.first", "b.first"), F.lit(0)), F.col("a.key")) == F.col("a.key"))
     )
     rest = a.join(b, open_pair).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
     rest = written(likely(rest, classes, percent=percent), "rest")
