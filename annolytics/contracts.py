@@ -55,3 +55,48 @@ TRAINING_EXAMPLE = Contract(
     {"id": "string", "text": "string", "sentiment_label": "string", "split": "string"}, unique=("id",), checks={"label": _IN_CLASSES, "split": "split in ('treino', 'validacao', 'teste')"}
 )
 PREDICTION = Contract({"id": "string", "text": "string", "sentiment_label": "string", "confidence_score": "double"}, strict=False, checks={"label": _IN_CLASSES, "confidence": "confidence_score between 0 and 1"})
+LABELED_SOURCE = Contract(
+    {"id": "string", "text": "string", "text_normalized": "string", "sentiment_label": "string", "confidence_score": "double"},
+    unique=("id",), checks={"label": "sentiment_label in ('negativo', 'neutro', 'positivo', 'indefinido')"},
+)
+# Names of the metrics of a run.
+METRICS = ("f1_macro", "mcc", "f1_weighted", "accuracy", "precision_macro", "recall_macro", "roc_auc_ovr", "pr_auc_ovr", "inference_time_ms", "computational_cost")
+RUN_METRIC = Contract(
+    {"run_id": "string", "model_name": "string", "metric_name": "string", "metric_value": "double", "git_sha": "string", "dataset_hash": "string"},
+    checks={"metric": f"metric_name in {METRICS}"},
+)
+BINARY_TARGET = Contract({"id": "string", "target": "bigint"}, unique=("id",), checks={"target": "target in (0, 1)"})
+CONTINUOUS_TARGET = Contract({"id": "string", "target": "double"}, unique=("id",), checks={"target": "target between 0 and 1"})
+
+
+def model_columns(df: DataFrame) -> list[str]:
+    """The columns of model labels, by their prefix."""
+    return [c for c in df.columns if c.startswith("lab_")]
+
+
+def validate_diagnostic_corpus(df: DataFrame) -> DataFrame:
+    """id (unique), text_normalized, agreement_score in 0..1, gold_label (may be null) and one or more lab_ columns of known labels."""
+    models = model_columns(df)
+    if not models:
+        raise ContractError("no lab_ column")
+    known = {f"labels of {c}": f"`{c}` is null or `{c}` in {CLASSES}" for c in (*models, "gold_label")}
+    columns = {"id": "string", "text_normalized": "string", "agreement_score": "double", "gold_label": "string", **dict.fromkeys(models, "string")}
+    return Contract(columns, strict=False, unique=("id",), nullable=("gold_label", *models), checks={"agreement": "agreement_score between 0 and 1", **known}).validate(df)
+
+
+def validate_label(label: str) -> str:
+    if label not in CLASSES:
+        raise ContractError(f"unknown label {label!r}")
+    return label
+
+
+def label_of_id(i: int) -> str:
+    if not 0 <= i < len(CLASSES):
+        raise ContractError(f"unknown label id {i}")
+    return CLASSES[i]
+
+
+def not_empty(df: DataFrame, name: str) -> DataFrame:
+    if df.isEmpty():
+        raise ContractError(f"{name} is empty")
+    return df

@@ -15,11 +15,18 @@ def random_subset(df: DataFrame, *, sample_size: int, id_column: str = "id", see
     return df.orderBy(draw(id_column, seed), id_column).limit(sample_size)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """left with the other columns of right, which has one row for each group of left, groups with null keys included."""
+    named = right.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    on = [left[c].eqNullSafe(named[f"_of_{c}"]) for c in by]
+    return left.join(named, on).drop(*[f"_of_{c}" for c in by])
+
+
 def ranked(df: DataFrame, by: list[str], id_column: str, seed: int) -> DataFrame:
     """df with _rank (from 1) and _size in each group; groups are counted by an aggregate, not by a window over their rows."""
     order = W.partitionBy(*by).orderBy(draw(id_column, seed), id_column)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    return df.withColumn("_rank", F.row_number().over(order)).join(sizes, by)
+    return null_safe_join(df.withColumn("_rank", F.row_number().over(order)), sizes, by)
 
 
 def stratified_subset(df: DataFrame, *, stratify_column: str, sample_size: int, id_column: str = "id", seed: int = DEFAULT_SEED) -> DataFrame:
@@ -62,7 +69,7 @@ def remove_cross_split_duplicates(df: DataFrame, *, key: str, split_column: str
     """Without validation rows whose key is in teste, and treino rows whose key is in teste or validacao."""
     seen = df.groupBy(key).agg((F.count_if(F.col(split_column) == "teste") > 0).alias("_t"), (F.count_if(F.col(split_column) == "validacao") > 0).alias("_v"))
     s = F.col(split_column)
-    return df.join(seen, key).where((s == "teste") | ((s == "validacao") & ~F.col("_t")) | ((s == "treino") & ~F.col("_t") & ~F.col("_v"))).drop("_t", "_v")
+    return null_safe_join(df, seen, [key]).where((s == "teste") | ((s == "validacao") & ~F.col("_t")) | ((s == "treino") & ~F.col("_t") & ~F.col("_v"))).drop("_t", "_v")
 
 
 def first_occurrences(df: DataFrame, *, key: str, ordinal: str) -> DataFrame:

@@ -100,7 +100,14 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "customer").select("c_custkey", privacy.pseudonymize_id(F.col("c_custkey"), "salt").alias("pseudonym"))
 
 
-@query("pseudonymize_hmac")
+def hmac_sql(x: str, key: bytes, n: int) -> str:
+    """The first n digits of HMAC-SHA-256 of an expression as text, put together from two plain hashes."""
+    padded = key.ljust(64, b"\0")
+    pad = lambda b: "".join(f"\\x{c ^ b:02X}" for c in padded)
+    return f"substr(sha256('{pad(0x5C)}'::BLOB || from_hex(sha256('{pad(0x36)}'::BLOB || encode(CAST({x} AS VARCHAR))))), 1, {n})"
+
+
+@query("pseudonymize_hmac", f"SELECT c_custkey, {hmac_sql('c_name', b'key', 20)} AS author_key FROM customer")
 def hmacs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "customer").select("c_custkey", privacy.pseudonymize_value(F.col("c_name"), b"key").alias("author_key"))
 
@@ -330,7 +337,10 @@ def cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.remove_cross_split_duplicates(_split_docs(spark, sf_dir), key="k").select("id", "split")
 
 
-@query("grouped_split")
+_SHARE_SQL = """(('0x' || substr(md5('42:' || CAST("group" AS VARCHAR)), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)"""
+
+
+@query("grouped_split", f"""WITH {V.PREDS_SQL} SELECT id, "group", y_true, CASE WHEN {_SHARE_SQL} < 0.2 THEN 'teste' WHEN {_SHARE_SQL} < 0.2::DOUBLE + 0.1::DOUBLE THEN 'validacao' ELSE 'treino' END AS split FROM preds""")
 def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = V.predictions(spark, sf_dir).select("id", "group", "y_true")
     return S.grouped_split(t, group_column="group")
@@ -427,7 +437,7 @@ def lexical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.table(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", "x.label", F.col("x.confidence").cast("double").alias("confidence")))
 
 
-@query("label_responses")
+@query("label_responses", f"WITH {V.RATERS_SQL} SELECT id, label_oa AS label, round(confidence_oa, 3) AS confidence FROM raters")
 def label_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.format_string('answer: {"label": "%s", "confidence": %.3f}', F.upper("label_oa"), F.col("confidence_oa"))
     return V.raters(spark, sf_dir).select("id", L.parse_label_response(raw).alias("x")).select("id", "x.label", "x.confidence")
@@ -469,7 +479,9 @@ def flag_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.flag_anomalies(V.predictions(spark, sf_dir), "confidence", 95).where("is_anomaly").select("id")
 
 
-@query("risk_coverage")
+@query("risk_coverage", f"""WITH {V.PREDS_SQL}, g AS (SELECT confidence AS c, sum((y_true = pred_a)::INT)::DOUBLE AS hit, count(*) AS n FROM preds GROUP BY 1), w AS (SELECT *, sum(n) OVER o AS upto, sum(hit) OVER o AS hits, sum(n) OVER () AS total FROM g WINDOW o AS (ORDER BY c DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, greatest(1, ceil(round(coverage * total, 6))) AS kept FROM w, (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE)) v(coverage))
+SELECT coverage, CAST(kept AS BIGINT) AS n_kept, round(c, 9) AS threshold, round((hits - hit + (kept - upto + n) * hit / n) / kept, 9) AS accuracy FROM k WHERE upto >= kept AND upto - n < kept""")
 def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.risk_coverage(V.predictions(spark, sf_dir), "confidence", F.col("y_true") == F.col("pred_a"), (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)))
 
