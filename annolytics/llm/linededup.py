@@ -111,7 +111,7 @@ def counted(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
         yield pd.DataFrame({"node": 0, "doc_id": 0, "line": -1 - part["first"], "counts": part["counts"]})
 
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    both = ordered(docs).coalesce(max(32, 4 * cores)).mapInPandas(read, "node long, doc_id long, line long, counts binary")
+    both = ordered(docs).coalesce(max(32, 4 * cores)).mapInPandas(textnum.tidy(read), "node long, doc_id long, line long, counts binary")
     both = written(both, "lines")
     tables = both.where("line < 0").select((-1 - F.col("line")).cast("int").alias("first"), "counts")
     return table_sums(tables), both.where("line >= 0").select("node", "doc_id", "line")
@@ -246,7 +246,7 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int, *,
                     "packed": [b"".join(planes(np.ascontiguousarray(c[x:y])) for c in columns) for x, y in parts],
                 })
 
-    return ordered(docs).mapInPandas(make, "bucket long, n long, packed binary")
+    return ordered(docs).mapInPandas(textnum.tidy(make), "bucket long, n long, packed binary")
 
 
 def unpacked(packed: bytes, n: int) -> np.ndarray:
@@ -449,7 +449,7 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
         yield from done()
 
     dealt = found.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(read, "kind byte, src long, dst long, dist int, key long, doc_id long, line long, meta long, far long")
+    return dealt.mapInPandas(textnum.tidy(read), "kind byte, src long, dst long, dist int, key long, doc_id long, line long, meta long, far long")
 
 
 class Bloom:
@@ -503,7 +503,7 @@ def whole_sets(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 once = np.unique(node, return_index=True)[1]
                 yield pd.DataFrame({"node": node[once], "elements": [element[ends[h] - n[h] : ends[h]].tobytes() for h in once.tolist()]})
 
-    return ordered(docs).mapInPandas(make, "node long, elements binary").join(ends.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return ordered(docs).mapInPandas(textnum.tidy(make), "node long, elements binary").join(ends.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -516,7 +516,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda node, e: sets.select(F.col("node").alias(node), F.col("elements").alias(e))
     joined = pairs.join(side("src", "ea"), "src").join(side("dst", "eb"), "dst")
-    return joined.select("src", "dst", "ea", "eb").mapInPandas(keep, "src long, dst long")
+    return joined.select("src", "dst", "ea", "eb").mapInPandas(textnum.tidy(keep), "src long, dst long")
 
 
 def xxhash_slots(*values: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -574,7 +574,7 @@ def gone_lines(docs: DataFrame, *, percent: int = 80, best: int = BEST, full: in
         raise ValueError("percent must be 60 to 100")
     counts, lines = counted(docs)
     firsts = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.count(F.lit(1)).alias("c")).select("node", "p.*", "c"), "line-firsts")
-    buckets = min(200_000, max(32, lines.count() * 10 // 400_000))  # of about 400,000 entries
+    buckets = min(200_000, max(32, lines.count() * 10 // 200_000))  # of about 200,000 entries
     found = entries(docs, counts, percent, buckets)
     near = written(near_in_lists(found, percent, best=best, full=full, together=together), "line-pairs")
     pairs = lambda df: df.where(f"kind = {PAIR}").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("dist").alias("dist"))

@@ -122,7 +122,7 @@ def sketches(docs: DataFrame, *, k: int) -> DataFrame:
                 })
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return asked.mapInPandas(make, "doc_id long, n long, node long, registers binary, bands array<long>, parities array<long>")
+    return asked.mapInPandas(textnum.tidy(make), "doc_id long, n long, node long, registers binary, bands array<long>, parities array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, *, k: int) -> DataFrame:
@@ -139,7 +139,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, *, k: int) -> DataFrame:
                 yield pd.DataFrame({"node": node[hit], "elements": [value[ends[h] - size[h] : ends[h]].tobytes() for h in hit.tolist()]})
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(make, "node long, elements binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInPandas(textnum.tidy(make), "node long, elements binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def bucket_counts(sets: DataFrame) -> np.ndarray:
@@ -153,7 +153,7 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
         yield table_rows(total)
 
     cores = sets.sparkSession.sparkContext.defaultParallelism
-    return table_sums(sets.select("elements").coalesce(max(32, 4 * cores)).mapInPandas(count, "first int, counts binary"))
+    return table_sums(sets.select("elements").coalesce(max(32, 4 * cores)).mapInPandas(textnum.tidy(count), "first int, counts binary"))
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
@@ -168,7 +168,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             line, key, place = keys(owner, element, n)
             yield pd.DataFrame({"key": key.view(np.int64), "place": place, "node": f["node"].to_numpy()[line]})
 
-    return sets.mapInPandas(make, "key long, place int, node long")
+    return sets.mapInPandas(textnum.tidy(make), "key long, place int, node long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, *, percent: int) -> DataFrame:
@@ -187,7 +187,7 @@ def likely(pairs: DataFrame, classes: DataFrame, *, percent: int) -> DataFrame:
     side = lambda node, n, r: classes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("registers").alias(r))
     joined = pairs.join(side("src", "na", "ra"), "src").join(side("dst", "nb", "rb"), "dst")
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return joined.where(near).select("src", "dst", "na", "nb", "ra", "rb").mapInPandas(keep, "src long, dst long")
+    return joined.where(near).select("src", "dst", "na", "nb", "ra", "rb").mapInPandas(textnum.tidy(keep), "src long, dst long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
@@ -200,7 +200,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
 
     side = lambda node, e: sets.select(F.col("node").alias(node), F.col("elements").alias(e))
     joined = pairs.join(side("src", "ea"), "src").join(side("dst", "eb"), "dst")
-    return joined.select("src", "dst", "ea", "eb").mapInPandas(keep, "src long, dst long")
+    return joined.select("src", "dst", "ea", "eb").mapInPandas(textnum.tidy(keep), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:

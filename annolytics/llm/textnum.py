@@ -6,12 +6,18 @@ off prefix sums (powers). Everything works on blocks of bounded bytes, so memory
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
+try:
+    _libc = ctypes.CDLL(None)
+except (OSError, TypeError):  # a system without one
+    _libc = None
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Random odd 64-bit numbers that stand for the bytes; upper-case ASCII letters share those of lower-case ones.
 _EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -65,6 +71,32 @@ def blocks(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int
         i = j
 
 
+def prepare() -> None:
+    """Have the allocator give back arrays of 8 MB and more as soon as they are dropped."""
+    if hasattr(_libc, "mallopt"):
+        _libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+
+
+def release() -> None:
+    """Hand memory that is free back to the system: workers live on between tasks, and the allocator keeps what large arrays leave."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def tidy(f):
+    """f, a function of an iterator of frames, in a worker that keeps no more memory than it uses."""
+
+    def run(frames):
+        prepare()
+        try:
+            yield from f(frames)
+        finally:
+            release()
+
+    return run
+
+
 def words(data: bytes, *, lower: bool = True, breaks: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word, in order; words are runs of bytes other than ASCII white space.
 

@@ -223,7 +223,7 @@ def document_counts(docs: DataFrame, slots: np.ndarray) -> tuple[int, np.ndarray
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"term": np.append(seen, -1), "c": np.append(total[seen], n)})  # -1: the documents
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "term long, c long")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(textnum.tidy(count), "term long, c long")
     n, out = 0, np.zeros(len(slots), dtype=np.int64)
     for term, c in found.groupBy("term").agg(F.sum("c")).collect():  # a row a term of the vocabulary at most
         if term < 0:
@@ -293,9 +293,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("score double, evidence array<long>")
     def judge(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = pickle.loads(shared.value)
-        for texts in frames:
-            score, evidence = own.scores([t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame({"score": score, "evidence": evidence})
+
+        def score(texts: pd.Series) -> pd.DataFrame:
+            found, evidence = own.scores([t if isinstance(t, str) else None for t in texts])
+            return pd.DataFrame({"score": found, "evidence": evidence})
+
+        yield from textnum.tidy(lambda parts: map(score, parts))(frames)
 
     out = docs.drop("score", "predicted", "evidence").withColumn("_judged", judge(F.col("text").cast("string")))
     out = out.withColumns({"score": F.col("_judged.score"), "evidence": F.col("_judged.evidence")}).drop("_judged")
