@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +35,15 @@ CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]),
 }
+#: Attributes of a tag: up to 200 runs of quoted or other characters, each taken whole, or what stands before the first >.
+INSIDE = r"(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+(?=>)|[^>]*+)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>|<(?P<raw>" + "|".join(RAW) + rf")\b{INSIDE}>.*?(?:</(?P=raw)\s*>|$)"
+    rf"|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>{INSIDE})>",
     re.S | re.I,
 )
+NEVER_ENDS = re.compile(r"<!--|<!\[CDATA\[")
+UNCLOSED = re.compile(r"(?:<!--(?!.*-->$)|<!\[CDATA\[(?!.*\]\]>$)|<(?!!)(?!.*</[a-z]+\s*>$)).*", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -80,6 +85,7 @@ def parse(page: str) -> Node:
     """The tree of block elements and text leaves. Unclosed and misnested tags are closed as browsers would, or ignored."""
     root = Node("html", NOTHING, None)
     stack: list[tuple[str, Node | None]] = []  # open elements; inline ones have no node
+    held: Counter[str] = Counter()  # open elements by name
     block, hidden, linked = root, 0, 0
     run: list[str] = []
     run_linked = 0
@@ -96,9 +102,14 @@ def parse(page: str) -> Node:
                 block.down.append(leaf)
             run, run_linked = [], 0
 
+    def push(tag: str, node: Node | None) -> None:
+        stack.append((tag, node))
+        held[tag] += 1
+
     def pop() -> None:
         nonlocal block, hidden, linked
         tag, node = stack.pop()
+        held[tag] -= 1
         if node is not None:
             flush()
             block = node.up
@@ -108,11 +119,12 @@ def parse(page: str) -> Node:
             linked -= 1
 
     def leave_head() -> None:
-        while any(open_tag == "head" for open_tag, _ in stack):
+        while held["head"]:
             pop()
 
     at = 0
-    for m in TOKEN.finditer(page):
+    closed = page.rfind(">") + 1  # beyond it no tag ends
+    for m in TOKEN.finditer(page, 0, closed):
         if m.start() > at and stack and stack[-1][0] == "head" and page[at : m.start()].strip():
             leave_head()
         if m.start() > at and not hidden:
@@ -121,6 +133,8 @@ def parse(page: str) -> Node:
             if linked:
                 run_linked += len(piece.strip())
         at = m.end()
+        if at == closed and (m["raw"] or m[0].startswith(("<!--", "<![CDATA["))) and UNCLOSED.fullmatch(m[0]):
+            at = len(page)  # a comment, script or the like that never ends
         tag = m["start"]
         if tag:
             tag = tag.lower()
@@ -136,7 +150,7 @@ def parse(page: str) -> Node:
                 if tag == "a":
                     linked += 1
                     block.links += 1
-                stack.append((tag, None))
+                push(tag, None)
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -158,7 +172,7 @@ def parse(page: str) -> Node:
             flush()
             if tag in HIDDEN:
                 hidden += 1
-                stack.append((tag, Node(tag, NOTHING, block)))
+                push(tag, Node(tag, NOTHING, block))
                 block = stack[-1][1]
                 # of these only foreign elements can close themselves
                 if tag in ("svg", "math") and m["attrs"].endswith("/"):
@@ -167,13 +181,13 @@ def parse(page: str) -> Node:
             node = Node(tag, attribute_words(m["attrs"]), block)
             node.start = total
             block.down.append(node)
-            stack.append((tag, node))
+            push(tag, node)
             block = node
             if m["attrs"].endswith("/") and tag not in ("p", "div", "li", "td"):
                 pop()
         elif m["end"]:
             tag = m["end"].lower()
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if held[tag] else ():
                 if stack[depth][0] == tag:
                     while len(stack) > depth:
                         pop()
@@ -181,10 +195,11 @@ def parse(page: str) -> Node:
                 # an inline end tag doesn't reach beyond its block
                 if tag in INLINE and stack[depth][1] is not None:
                     break
-    if page[at:].strip() and stack and stack[-1][0] == "head":
+    tail = NEVER_ENDS.split(page[at:], maxsplit=1)[0]
+    if tail.strip() and stack and stack[-1][0] == "head":
         leave_head()
-    if at < len(page) and not hidden:
-        run.append(page[at:])
+    if tail and not hidden:
+        run.append(tail)
     while stack:
         pop()
     flush()

@@ -28,3 +28,21 @@ def test_place_among_many_siblings():
     at = html.FEATURES.index("place")
     places = [row[at] for n, row in zip(nodes, html.features(nodes), strict=True) if n.tag == "p"]
     assert places == [i / 80 for i in range(80)]
+
+
+def test_pages_of_unended_tags_take_linear_time():
+    import time
+
+    for piece in ("<a ", '<a b="', "<a \"'>", "<!-- ", "<script>", "<"):
+        began = time.time()
+        html.parse(piece * 100_000)
+        assert time.time() - began < 5, piece
+    began = time.time()
+    html.parse("<div>" * 20_000 + "</p>" * 100_000)
+    assert time.time() - began < 5
+
+
+def test_comments_without_end_are_no_text():
+    leaf = lambda page: " ".join(n.text for n in html.ordered(html.parse(page)) if n.text)
+    assert leaf("<p>a<!-- x") == "a" and leaf("<p>a<!-- x > y") == "a" and leaf("<p>a<!-- x --> b") == "a b"
+    assert leaf("<p>a<script>b") == "a" and leaf("1 < 2") == "1 < 2" and leaf("<p>a <b") == "a <b"
