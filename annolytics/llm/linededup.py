@@ -380,13 +380,13 @@ class Lists:
         return pairs, rows
 
 
-#: Rows of near_in_lists(): a pair of classes; a class (src) with more candidates in a key's list than were kept; an entry (of class src) of a long list,
-#: or of one in which a class has more candidates and is not sure to be similar to the closest.
-PAIR, MORE, LONG = 0, 1, 2
+#: Rows of near_in_lists(): a pair of classes; a class (src) with more candidates in a key's list than were kept; an entry (of class src) of a long list;
+#: an entry of a list in which a class has more candidates and is not sure to be similar to the closest.
+PAIR, MORE, LONG, UNSURE = 0, 1, 2, 3
 
 
 def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, full: int = FULL, together: int = TOGETHER, asked: Bloom | None = None) -> DataFrame:
-    """kind, src, dst, dist, key, doc_id, line, meta, far: what the lists of keys say, see PAIR, MORE and LONG. dist: of parities.
+    """kind, src, dst, dist, key, doc_id, line, meta, far: what the lists of keys say, see PAIR, MORE, LONG and UNSURE. dist: of parities.
 
     A bucket is read whole, unless it has more than `together` entries; lists of more than `full` classes are compared in part and come
     out. best: None for all candidates. asked: only classes in this bitmap look for earlier ones, and long lists do not come out.
@@ -396,13 +396,13 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
     def frame(kind: int, **columns: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"kind": kind, **{c: columns.get(c, 0) for c in names[1:]}}, index=range(len(columns["src"])))
 
-    def of_entries(x: np.ndarray) -> pd.DataFrame:
-        return frame(LONG, src=x[:, 1], key=x[:, 0], doc_id=x[:, 2], line=x[:, 3], meta=x[:, 4], far=x[:, 5])
+    def of_entries(x: np.ndarray, kind: int) -> pd.DataFrame:
+        return frame(kind, src=x[:, 1], key=x[:, 0], doc_id=x[:, 2], line=x[:, 3], meta=x[:, 4], far=x[:, 5])
 
     def of_lists(lists: Lists, x: np.ndarray) -> Iterator[pd.DataFrame]:
         pairs, long = lists.feed(x)
         yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1])
-        yield of_entries(long)
+        yield of_entries(long, LONG)
 
     def whole(x: np.ndarray) -> Iterator[pd.DataFrame]:
         x = x[np.argsort(x[:, 0])]
@@ -423,7 +423,7 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
         pairs, more, unsure = candidates(x, percent, best, None if asked is None else asked.has(x[:, 1]))
         yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1], dist=pairs[:, 2])
         yield frame(MORE, src=more[:, 0], key=more[:, 1])
-        yield of_entries(x[unsure])
+        yield of_entries(x[unsure], UNSURE)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, lists, parts, n = None, None, [], 0
@@ -554,9 +554,9 @@ def settled(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int)
     return written(gone.union(similar(others, sets, percent).select("src")).distinct().select(F.col("src").alias("node")), "lines-gone")
 
 
-def of_long_lists(rest: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
-    """src, dst, dist: classes of long lists (node, key, meta, far, p) that are not gone yet, with all earlier ones that are possible."""
-    open_ones = written(rest.join(gone, "node", "left_anti"), "line-open").alias("a")
+def of_long_lists(open_ones: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """src, dst, dist: classes of open_ones with all earlier ones of their lists (rest) that are possible; both node, key, meta, far, p."""
+    open_ones = open_ones.alias("a")
     size = lambda s: F.shiftright(F.col(f"{s}.meta"), 8).bitwiseAND(F.lit(4095))
     place = lambda s: F.col(f"{s}.meta").bitwiseAND(F.lit(255))
     need = F.ceil(percent * (size("a") + size("b")) / F.lit(100.0 + percent) - 1e-9)
@@ -579,12 +579,17 @@ def gone_lines(docs: DataFrame, *, percent: int = 80, best: int = BEST, full: in
     near = written(near_in_lists(found, percent, best=best, full=full, together=together), "line-pairs")
     pairs = lambda df: df.where(f"kind = {PAIR}").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("dist").alias("dist"))
     gone = settled(pairs(near), firsts, docs, percent)
-    long = near.where(f"kind = {LONG}")
-    if not long.isEmpty():
-        rest = written(long.groupBy("key", F.col("src").alias("node"), "meta", "far").agg(F.min(F.struct("doc_id", "line")).alias("p")), "line-rest")
-        gone = written(gone.union(settled(of_long_lists(rest, gone, percent), firsts, docs, percent)).distinct(), "lines-gone")
-    asked = near.where(f"kind = {MORE}").select(F.col("src").alias("node"), "key").distinct().join(gone, "node", "left_anti")
-    asked = written(asked.join(long.select("key").distinct(), "key", "left_anti"), "line-asked")
+    asked = near.where(f"kind = {MORE}").select(F.col("src").alias("node"), "key").distinct()
+    asked = written(asked.join(gone, "node", "left_anti"), "line-asked")
+    lists = near.where(f"kind = {LONG}").unionByName(near.where(f"kind = {UNSURE}").join(asked.select("key").distinct(), "key", "left_semi"))
+    rest = lists.groupBy("key", F.col("src").alias("node"), "meta", "far").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.max("kind").alias("kind"))
+    rest = written(rest, "line-rest")
+    if not rest.isEmpty():
+        # of a long list all that are not gone are open, of the others those that ask for more
+        open_ones = rest.where(f"kind = {LONG}").join(gone, "node", "left_anti").unionByName(rest.where(f"kind = {UNSURE}").join(asked, ["node", "key"], "left_semi"))
+        more = of_long_lists(written(open_ones, "line-open"), rest, percent)
+        gone = written(gone.union(settled(more, firsts, docs, percent)).distinct(), "lines-gone")
+        asked = written(asked.join(rest.select("key").distinct(), "key", "left_anti").join(gone, "node", "left_anti"), "line-asked")
     if not asked.isEmpty():  # all their candidates, of which the closest were not similar, from the lists that have more
         found = entries(docs, counts, percent, buckets, only=Bloom(asked, "key"))
         again = near_in_lists(found, percent, best=None, full=full, together=together, asked=Bloom(asked, "node"))
