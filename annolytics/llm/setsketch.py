@@ -225,8 +225,11 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     classes = written(classes.select("node", "first_id", "n", "registers", "bands", "parities"), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band")
+    shared = written(shared, "shared")  # of known size: sent to all tasks where it is small
     banded = written(banded.join(shared, "band"), "bands")
-    sets = written(full_sets(docs, written(banded.select("node").distinct(), "members"), k=k), "sets")
+    members = written(banded.select("node").distinct(), "members")
+    sets = written(full_sets(docs, members, k=k), "sets")
+    cards = written(classes.select("node", "n", "registers", "parities").join(members, "node", "left_semi"), "cards")
     links = docs.sparkSession.createDataFrame([], "src long, dst long")
     roots = links.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     for turn in CENTRES:
@@ -237,14 +240,14 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
         star = written(star.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct(), "star")
         if star.isEmpty():
             break
-        found = written(confirmed(written(likely(star, classes, percent=percent), "likely"), sets, percent=percent), "links")
+        found = written(confirmed(written(likely(star, cards, percent=percent), "likely"), sets, percent=percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             roots = components(links)
     # members of a band that are still apart
     held = apart(banded, roots, 0).select("node", "root").distinct()
     bits = [F.element_at("parities", i + 1).alias(f"bit{i}") for i in range(M // 64)]
-    held = written(held.join(classes.select("node", "n", *bits), "node"), "apart")
+    held = written(held.join(cards.select("node", "n", *bits), "node"), "apart")
     own = sets.join(held.select("node"), "node", "left_semi")
     keyed = written(prefixes(own, bucket_counts(own), percent), "prefixes")
     # a pair comes out at the first key by rarity that both are known to have, the one that the positional filter is about, not at each
@@ -263,7 +266,7 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
         & (F.coalesce(F.get(F.array_intersect("a.first", "b.first"), F.lit(0)), F.col("a.key")) == F.col("a.key"))
     )
     rest = a.join(b, open_pair).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
-    rest = written(likely(rest, classes, percent=percent), "rest")
+    rest = written(likely(rest, cards, percent=percent), "rest")
     if not rest.isEmpty():
         more = written(confirmed(rest, sets, percent=percent), "links")
         if not more.isEmpty():
