@@ -279,7 +279,10 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = MAX_EXAMPLES) -> Mo
     drawn = known.withColumn("_draw", F.xxhash64("doc_id", F.lit(5))).orderBy("_draw", "doc_id").limit(most).drop("_draw")
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # `most` rows of two numbers
     found = rows.toPandas().sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id").head(most)
-    return fit(found["doc_id"].tolist(), [t if isinstance(t, str) else None for t in found["text"]], found["toxic"].to_numpy(dtype=int), counts=lambda slots: document_counts(docs, slots))
+    textnum.prepare()  # the driver's memory counts too
+    model = fit(found["doc_id"].tolist(), [t if isinstance(t, str) else None for t in found["text"]], found["toxic"].to_numpy(dtype=int), counts=lambda slots: document_counts(docs, slots))
+    textnum.release()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
