@@ -45,6 +45,8 @@ BEST = 2
 SURE = 8
 #: Lines that go are sent to all tasks up to this number (some 32 MB), and joined by document beyond it.
 SENT = 2_000_000
+#: Entries whose lists are compared at once: what comes out of lists of SMALL is some 25 times as much.
+AT_ONCE = 1 << 16
 #: Entries of a bucket of keys that a task holds at once: a bucket of more is fed in parts (see Lists).
 TOGETHER = 3_000_000
 #: Sets of up to SHORT words are joined on pairs of prefix words, longer ones on single words.
@@ -420,10 +422,14 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
             if asked is None:
                 yield from of_lists(Lists(percent), x[long])
             x = x[~long]
-        pairs, more, unsure = candidates(x, percent, best, None if asked is None else asked.has(x[:, 1]))
-        yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1], dist=pairs[:, 2])
-        yield frame(MORE, src=more[:, 0], key=more[:, 1])
-        yield of_entries(x[unsure], UNSURE)
+        start = np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0])) if len(x) else np.zeros(0, dtype=np.int64)
+        cuts = start[np.flatnonzero(np.diff(start // AT_ONCE, prepend=-1))].tolist()  # whole lists of about AT_ONCE entries
+        for a, b in zip(cuts, [*cuts[1:], len(x)], strict=True):
+            part = x[a:b]
+            pairs, more, unsure = candidates(part, percent, best, None if asked is None else asked.has(part[:, 1]))
+            yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1], dist=pairs[:, 2])
+            yield frame(MORE, src=more[:, 0], key=more[:, 1])
+            yield of_entries(part[unsure], UNSURE)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, lists, parts, n = None, None, [], 0

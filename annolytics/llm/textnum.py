@@ -58,12 +58,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def blocks(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """(first, last + 1, their bytes joined by a space, lengths in bytes) of runs of texts of about `size` characters; null is empty."""
+def blocks(texts: list[str | None], size: int = 1_000_000, most: int = 1 << 40) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(first, last + 1, their bytes joined by a space, lengths in bytes) of runs of texts of about `size` characters, `most` texts at most;
+    null is empty."""
     i = 0
     while i < len(texts):
         j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j] or "") <= size):
+        while j < len(texts) and (j == i or (n + len(texts[j] or "") <= size and j - i < most)):
             n += len(texts[j] or "")
             j += 1
         raw = [(t or "").encode("utf-8", "replace") for t in texts[i:j]]
@@ -177,9 +178,9 @@ def in_common(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return common, size
 
 
-def document_sets(texts: list[str | None], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index of the first text, owner, hash, size of each text's set) by blocks: distinct k-word shingles, lower-cased A-Z."""
-    for i, j, data, lengths in blocks(texts):
+def document_sets(texts: list[str | None], k: int, *, most: int = 1 << 40) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the first text, owner, hash, size of each text's set) by blocks (see blocks): distinct k-word shingles, lower-cased A-Z."""
+    for i, j, data, lengths in blocks(texts, most=most):
         h, start, _ = words(data)
         ends = np.cumsum(lengths + 1)
         bounds = np.searchsorted(start, ends)
