@@ -8,7 +8,7 @@ close to their Jaccard similarity.
 Copies (equal sets) are one class. Classes that agree in a band are candidates. In each of a few rounds a class is compared with a few
 others only, centres of its bands that it is not connected to yet, and the links found are contracted: a group of n near copies costs a multiple of n comparisons, not n * n. Then members of a band that are still apart must share one of their rarest
 shingles (prefix filter: two similar sets always do, while texts that are alike only in passages that many share don't), and sizes and
-parities of registers must allow it; what is left is estimated and verified. So every candidate pair is verified, ruled out or known
+parities must allow it (those of registers, and exactly those of ODD parts of the shingles); what is left is estimated and verified. So every candidate pair is verified, ruled out or known
 to be connected, and the components are those of all links among candidates. With 42 bands of 6 registers a link of similarity 0.8 is no candidate with a probability of 3e-6,
 one of 0.85 with 5e-10.
 """
@@ -16,10 +16,12 @@ one of 0.85 with 5e-10.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annolytics.llm import textnum
 from annolytics.llm.components import components
@@ -34,6 +36,10 @@ CENTRES = (0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D)
 MEET = 4
 #: Keys that a class carries to tell at which of them it meets another first.
 KNOWN = 12
+#: Parities of a set's shingles by hash: sets differ in at least as many shingles as parities.
+ODD = 512
+#: Texts, and elements of sets, that a worker holds arrays for at once.
+TEXTS, ELEMENTS = 4096, 1_000_000
 #: Standard deviations by which an estimate may miss the threshold before a pair is dropped unverified.
 SLACK = 5.0
 
@@ -94,6 +100,13 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return (low + high) / 2
 
 
+def parities(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """(n, ODD / 64) long: the parities of the number of elements of each set in each of ODD parts of the hash space."""
+    part = (textnum.mix(value ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(32)) * np.uint64(ODD) >> np.uint64(32)
+    odd = np.bincount(owner * ODD + part.astype(np.int64), minlength=n * ODD).reshape(n, ODD) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
 def signature(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """One 64-bit hash a set, from the sum of its mixed elements and its size."""
     total = np.zeros(n, dtype=np.uint64)
@@ -102,12 +115,12 @@ def signature(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, k: int) -> DataFrame:
-    """doc_id, n, node (a hash of the set), registers (binary), bands, parities of registers (array<long>)."""
+    """doc_id, n, node (a hash of the set), registers (binary), bands, parities (array<long>: M of registers, then ODD of shingles)."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"].tolist()
-            for i, owner, value, size in textnum.document_sets(texts, k):
+            for i, owner, value, size in textnum.document_sets(texts, k, most=TEXTS):
                 n = len(size)
                 reg = sketch(owner, value, n)
                 wide = reg[:, : BANDS * ROWS].reshape(n, BANDS, ROWS).astype(np.uint64)
@@ -118,7 +131,7 @@ def sketches(docs: DataFrame, *, k: int) -> DataFrame:
                 yield pd.DataFrame({
                     "doc_id": frame["doc_id"].iloc[i : i + n].astype("Int64").to_numpy(),
                     "n": size.astype(np.int64), "node": signature(owner, value, n), "registers": [r.tobytes() for r in reg],
-                    "bands": list(band.view(np.int64)), "parities": list(parity),
+                    "bands": list(band.view(np.int64)), "parities": list(np.concatenate([parity, parities(owner, value, n)], axis=1)),
                 })
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -163,16 +176,30 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = Keys(shared.value, percent)
         for f in frames:
-            n = np.array([len(e) // 8 for e in f["elements"]], dtype=np.int64)
-            owner, element = np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(f["elements"]), dtype=np.uint64)
-            line, key, place = keys(owner, element, n)
-            yield pd.DataFrame({"key": key.view(np.int64), "place": place, "node": f["node"].to_numpy()[line]})
+            sets_, node = f["elements"].tolist(), f["node"].to_numpy()
+            every = np.array([len(e) // 8 for e in sets_], dtype=np.int64)
+            cuts = np.flatnonzero(np.diff((np.cumsum(every) - every) // ELEMENTS, prepend=-1)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(sets_)], strict=True):
+                n = every[i:j]
+                owner, element = np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(sets_[i:j]), dtype=np.uint64)
+                line, key, place = keys(owner, element, n)
+                yield pd.DataFrame({"key": key.view(np.int64), "place": place, "node": node[i:j][line]})
 
     return sets.mapInPandas(textnum.tidy(make), "key long, place int, node long")
 
 
+def most_apart(na: Column, nb: Column, percent: int) -> Column:
+    """How many shingles may be in one of two sets of these sizes only, if they are similar."""
+    return na + nb - 2 * F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9)
+
+
+def differ(a: list[Column], b: list[Column]) -> Column:
+    """In how many bits two runs of longs differ."""
+    return reduce(add, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)])
+
+
 def likely(pairs: DataFrame, classes: DataFrame, *, percent: int) -> DataFrame:
-    """Of the pairs (src, dst), those whose sizes and estimate leave the threshold possible."""
+    """Of the pairs (src, dst), those whose sizes, parities of shingles and estimate leave the threshold possible."""
     t = percent / 100
     floor = t - SLACK * (t * (1 - t) / M) ** 0.5
 
@@ -184,9 +211,11 @@ def likely(pairs: DataFrame, classes: DataFrame, *, percent: int) -> DataFrame:
                 f = f[good]
             yield f[["src", "dst"]]
 
-    side = lambda node, n, r: classes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("registers").alias(r))
-    joined = pairs.join(side("src", "na", "ra"), "src").join(side("dst", "nb", "rb"), "dst")
+    side = lambda node, s: classes.select(F.col("node").alias(node), F.col("n").alias(f"n{s}"), F.col("registers").alias(f"r{s}"), F.col("parities").alias(f"p{s}"))
+    joined = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    odd = lambda p: [F.element_at(p, i + 1) for i in range(M // 64, (M + ODD) // 64)]
+    near = near & (differ(odd("pa"), odd("pb")) <= most_apart(F.col("na"), F.col("nb"), percent))
     return joined.where(near).select("src", "dst", "na", "nb", "ra", "rb").mapInPandas(textnum.tidy(keep), "src long, dst long")
 
 
@@ -246,7 +275,7 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
             roots = components(links)
     # members of a band that are still apart
     held = apart(banded, roots, 0).select("node", "root").distinct()
-    bits = [F.element_at("parities", i + 1).alias(f"bit{i}") for i in range(M // 64)]
+    bits = [F.element_at("parities", i + 1).alias(f"bit{i}") for i in range((M + ODD) // 64)]
     held = written(held.join(cards.select("node", "n", *bits), "node"), "apart")
     own = sets.join(held.select("node"), "node", "left_semi")
     keyed = written(prefixes(own, bucket_counts(own), percent), "prefixes")
@@ -258,10 +287,11 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     odd = (1 - t) / 2  # the share of parities in which registers of similarity t differ, at most
     most_bits = int(M * odd + SLACK * (M * odd * (1 - odd)) ** 0.5) + 1
     a, b = keyed.alias("a"), keyed.alias("b")
-    differ = sum((F.bit_count(F.col(f"a.bit{i}").bitwiseXOR(F.col(f"b.bit{i}"))) for i in range(1, M // 64)), F.bit_count(F.col("a.bit0").bitwiseXOR(F.col("b.bit0"))))
+    bit = lambda s, i, j: [F.col(f"{s}.bit{k}") for k in range(i // 64, j // 64)]
     overlap = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / F.lit(100.0 + percent) - 1e-9)
     open_pair = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (differ <= most_bits)
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
+        & (differ(bit("a", 0, M), bit("b", 0, M)) <= most_bits) & (differ(bit("a", M, M + ODD), bit("b", M, M + ODD)) <= most_apart(F.col("a.n"), F.col("b.n"), percent))
         & ((F.col("a.place") == 255) | (F.col("b.place") == 255) | (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= overlap))
         & (F.coalesce(F.get(F.array_intersect("a.first", "b.first"), F.lit(0)), F.col("a.key")) == F.col("a.key"))
     )
