@@ -422,7 +422,9 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
             if asked is None:
                 yield from of_lists(Lists(percent), x[long])
             x = x[~long]
-        start = np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0])) if len(x) else np.zeros(0, dtype=np.int64)
+        if not len(x):
+            return
+        start = np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0]))
         cuts = start[np.flatnonzero(np.diff(start // AT_ONCE, prepend=-1))].tolist()  # whole lists of about AT_ONCE entries
         for a, b in zip(cuts, [*cuts[1:], len(x)], strict=True):
             part = x[a:b]
