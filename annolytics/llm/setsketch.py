@@ -176,6 +176,8 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = Keys(shared.value, percent)
         for f in frames:
+            if f.empty:
+                continue
             sets_, node = f["elements"].tolist(), f["node"].to_numpy()
             every = np.array([len(e) // 8 for e in sets_], dtype=np.int64)
             cuts = np.flatnonzero(np.diff((np.cumsum(every) - every) // ELEMENTS, prepend=-1)).tolist()
