@@ -13,26 +13,39 @@ UNDEFINED = C.UNDEFINED
 EVERY = "__todos__"
 
 
+#: Values from which numbered() takes the bounds of its ranges, and the binary digits of the number of ranges, at most.
+SAMPLE, DIGITS = 16_384, 10
+
+
+def ranges(df: DataFrame, order: str) -> Column:
+    """The number from 0 of a value's range, by bounds that are fixed here: it depends on the value only, nulls are in a range after all others."""
+    values = df.select(F.col(order).alias("v")).where("v is not null")
+    some = [v for (v,) in values.orderBy(F.xxhash64("v")).limit(SAMPLE).sort("v").collect()]
+    digits = min(DIGITS, (len(some) + 1).bit_length() - 1)
+    bounds = F.array(*[F.lit(some[i * len(some) >> digits]).cast(values.schema["v"].dataType) for i in range(1, 1 << digits)])
+    steps = F.array(*[F.lit(1 << d) for d in reversed(range(digits))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.element_at(bounds, at + step) <= F.col(order), at + step).otherwise(at)) if digits else F.lit(0)
+    return F.when(F.col(order).isNull(), F.lit(1 << DIGITS)).otherwise(found)
+
+
 def numbered(df: DataFrame, order: str, name: str = "row_number") -> DataFrame:
-    """df with its rows' number from 1 in the order of a column that doesn't repeat.
+    """df with its rows' number from 1 in the order of a column that doesn't repeat, nulls last.
 
-    Rows are range-partitioned and sorted; each partition starts after the counts of those before it, so no task sees all rows.
+    Rows are dealt by ranges of the column and sorted there; each range starts after the counts of those before it, so no task sees all
+    rows. Partitions of repartitionByRange would not do: counts and rows are computed apart, and then get other bounds.
     """
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(order)))
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    parts = df.withColumn("_p", ranges(df, order))
+    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    parts = parts.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(F.col(order).asc_nulls_last())))
     return parts.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_before")).cast("long")).drop("_p", "_i", "_before")
 
 
 def author_keys(df: DataFrame, *, key: bytes, author_column: str, order: str) -> DataFrame:
-    """id (t0000001 on, in the order of the file's lines) and author_key, null without an author; the author himself does not come out.
-
-    A distinct author is hashed once.
-    """
-    rows = numbered(df.select(F.col(order).alias("_order"), F.col(author_column).cast("string").alias("author")), "_order")
-    keys = rows.select("author").where("author is not null").distinct().withColumn("author_key", privacy.pseudonymize_value(F.col("author"), key))
-    return rows.join(keys, "author", "left").select(text.row_id(F.col("row_number")).alias("id"), "author_key")
+    """id (t0000001 on, in the order of the file's lines) and author_key, null without an author; the author himself does not come out."""
+    author = F.col(author_column).cast("string")
+    rows = numbered(df.select(F.col(order).alias("_order"), privacy.pseudonymize_value(author, key).alias("author_key")), "_order")
+    return rows.select(text.row_id(F.col("row_number")).alias("id"), "author_key")
 
 
 def merge_consensus(corpus: DataFrame, consensus: DataFrame, *, id_column: str = "id", suffix: str = "_huggingface") -> DataFrame:
