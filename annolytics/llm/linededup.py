@@ -10,8 +10,9 @@ similarity at the threshold or above. Lines of equal sets are one class, represe
 4. Each class is verified on whole sets with its closest candidate, then, if that is not similar, with its others. As one similar
    earlier line settles a class, n similar lines cost a multiple of n verifications.
 5. Lists of more than FULL classes, or of keys too frequent for one task, are first compared with the first of the list and the NEAR
-   before each. The classes of these lists that are still open, and those of lists in which a class has more candidates of doubtful
-   closeness, are joined with all earlier ones of their lists by key, a join that Spark may split.
+   before each. The classes of these lists that are still open are joined with all earlier ones of their lists by key, a join that Spark
+   may split. Of other lists in which a class has more candidates of doubtful closeness, such classes and their candidates are kept in
+   packed rows; those that classes still open ask for are compared again, without bounds.
 6. Classes that are open even then and have more candidates elsewhere meet those in a second pass over the texts.
 
 Texts are read by map passes only. The sets of lines to verify and the documents that lose lines are picked out by Bloom bitmaps
@@ -21,6 +22,7 @@ before anything is shuffled; a bitmap has about ten bits an entry up to 128 MB,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -208,8 +210,8 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
 
 
-def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int, *, only: Bloom | None = None) -> DataFrame:
-    """bucket, n, packed: the join keys of lines (of those in `only`), by bucket of the key and block of texts, in packed columns.
+def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int, *, first: Bloom, only: Bloom | None = None) -> DataFrame:
+    """bucket, n, packed: the join keys (those in `only`) of lines in `first`, by bucket of the key and block of texts, in packed columns.
 
     An entry is key, node, doc_id, line, meta (44 parities, the size of the set (4095: that or more) and the place of the key's word) and
     far (64 more parities). Equal sets of one block give theirs once. Of a key 40 bits are kept: in a bucket that is enough to tell
@@ -226,10 +228,14 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int, *,
                 where = np.lexsort((number, ids[i + text], node))  # the first line of each set in this block
                 once = np.zeros(len(node), dtype=bool)
                 once[where[np.append(True, node[where[1:]] != node[where[:-1]])] if len(where) else where] = True
+                once &= first.has(ids[i + text], number)
+                element, owner = element[once[owner]], (np.cumsum(once) - 1)[owner[once[owner]]]
+                text, number, node, n = text[once], number[once], node[once], n[once]
                 line, key, place = keys(owner, element, n)
-                keep, short = once[line], (key & np.uint64((1 << 40) - 1)).view(np.int64)
-                keep &= True if only is None else only.has(short)
-                line, key, place, short = line[keep], key[keep], place[keep], short[keep]
+                short = (key & np.uint64((1 << 40) - 1)).view(np.int64)
+                if only is not None:
+                    keep = only.has(short)
+                    line, key, place, short = line[keep], key[keep], place[keep], short[keep]
                 if not len(key):
                     continue
                 bucket = (textnum.mix(key) % np.uint64(buckets)).astype(np.int64)
@@ -251,6 +257,10 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int, buckets: int, *,
     return ordered(docs).mapInPandas(textnum.tidy(make), "bucket long, n long, packed binary")
 
 
+def packed(x: np.ndarray) -> bytes:
+    return b"".join(planes(np.ascontiguousarray(x[:, k])) for k in range(6))
+
+
 def unpacked(packed: bytes, n: int) -> np.ndarray:
     """(n, 6) long: key, node, doc_id, line, meta, far."""
     return np.stack([unplanes(packed[8 * n * k : 8 * n * (k + 1)]) for k in range(6)], axis=1)
@@ -276,8 +286,8 @@ def closest(i: np.ndarray, j: np.ndarray, d: np.ndarray, best: int | None) -> tu
 
 
 def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Within lists: (node, earlier node, distance of their parities) of the closest possible pairs, (node, key) where a node has more, and
-    the places of all entries of lists in which such a node's closest is not SURE.
+    """Within lists: (node, earlier node, distance of their parities) of the closest possible pairs; (node, key, whether the list is open)
+    where a node has more; and the places of such nodes and of all their candidates in open lists, those in which one's closest is not SURE.
 
     x: entries sorted by key, doc_id and line. wanted: which entries look for earlier ones (all, if None).
     """
@@ -290,16 +300,23 @@ def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray
     place = np.arange(len(x)) - np.repeat(start, length)
     asks = (np.repeat(length, length) <= SMALL) & (place > 0)
     asks &= True if wanted is None else wanted
-    found, more, unsure = [], [], []
+    found, more, unsure, among = [], [], [], []
 
     def fits(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         most = limit[a + b]
         return ((d <= most) & (np.abs(a - b) <= most)) | (a == 4095) | (b == 4095)
 
     def keep(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        every = i, j
         i, j, d, rest = closest(i, j, d, best)
         found.append(np.stack([node[i], node[j], d], axis=1))
-        more.append(x[rest][:, 1::-1])
+        if not len(rest):
+            return
+        more.append(rest)
+        rich = np.zeros(len(x), dtype=bool)
+        rich[rest] = True
+        rich[every[1][rich[every[0]]]] = True
+        among.append(np.flatnonzero(rich))
         lead = np.flatnonzero(np.append(True, i[1:] != i[:-1]) & np.isin(i, rest))
         i, j, d = i[lead], j[lead], d[lead]
         unsure.append(i[(d > expected[limit[size[i] + size[j]] + 1] - SURE) | (size[i] == 4095) | (size[j] == 4095)])
@@ -308,7 +325,8 @@ def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray
     while len(of):
         there = of - lag
         d = np.bitwise_count(near[of] ^ near[there]) + np.bitwise_count(far[of] ^ far[there])
-        good = np.flatnonzero(fits(d, size[of], size[there]) & (node[of] != node[there]) & (possible(meta[of], meta[there], percent)))
+        good = np.flatnonzero(fits(d, size[of], size[there]))
+        good = good[(node[of[good]] != node[there[good]]) & possible(meta[of[good]], meta[there[good]], percent)]
         parts.append((of[good], there[good], d[good].astype(np.int64)))
         lag += 1
         of = of[place[of] >= lag]
@@ -326,11 +344,13 @@ def candidates(x: np.ndarray, percent: int, best: int | None, wanted: np.ndarray
             i, j = i[good], j[good]
             if len(i):
                 keep(i + a + r, j + a, d[i, j].astype(np.int64))
-    if not found:
-        return np.zeros((0, 3), dtype=np.int64), np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+    if not more:
+        return pairs, np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    of_list, rest, among = np.cumsum(place == 0) - 1, np.concatenate(more), np.unique(np.concatenate(among))
     open_lists = np.zeros(len(start), dtype=bool)
-    open_lists[(np.cumsum(place == 0) - 1)[np.concatenate(unsure)]] = True
-    return np.concatenate(found), np.concatenate(more), np.flatnonzero(np.repeat(open_lists, length))
+    open_lists[of_list[np.concatenate(unsure)]] = True
+    return pairs, np.stack([node[rest], key[rest], open_lists[of_list[rest]]], axis=1), among[open_lists[of_list[among]]]
 
 
 class Lists:
@@ -382,29 +402,30 @@ class Lists:
         return pairs, rows
 
 
-#: Rows of near_in_lists(): a pair of classes; a class (src) with more candidates in a key's list than were kept; an entry (of class src) of a long list;
-#: an entry of a list in which a class has more candidates and is not sure to be similar to the closest.
+#: Rows of near_in_lists(): a pair of classes; a class (src) with more candidates in a key's list than were kept (dist: 1 if an UNSURE row has them);
+#: an entry (of class src) of a long list; of a list in which a class has more candidates and is not sure to be similar to the closest, all such
+#: classes and their candidates (dist entries in packed, as from entries()).
 PAIR, MORE, LONG, UNSURE = 0, 1, 2, 3
 
 
 def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, full: int = FULL, together: int = TOGETHER, asked: Bloom | None = None) -> DataFrame:
-    """kind, src, dst, dist, key, doc_id, line, meta, far: what the lists of keys say, see PAIR, MORE, LONG and UNSURE. dist: of parities.
+    """kind, src, dst, dist, key, doc_id, line, meta, far, packed: what the lists of keys say, see PAIR, MORE, LONG and UNSURE. dist: of parities.
 
     A bucket is read whole, unless it has more than `together` entries; lists of more than `full` classes are compared in part and come
     out. best: None for all candidates. asked: only classes in this bitmap look for earlier ones, and long lists do not come out.
     """
     names = ["kind", "src", "dst", "dist", "key", "doc_id", "line", "meta", "far"]
 
-    def frame(kind: int, **columns: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"kind": kind, **{c: columns.get(c, 0) for c in names[1:]}}, index=range(len(columns["src"])))
+    def frame(kind: int, *, packed: list[bytes] | None = None, **columns: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"kind": kind, **{c: columns.get(c, 0) for c in names[1:]}, "packed": packed}, index=range(len(columns["key" if packed else "src"])))
 
-    def of_entries(x: np.ndarray, kind: int) -> pd.DataFrame:
-        return frame(kind, src=x[:, 1], key=x[:, 0], doc_id=x[:, 2], line=x[:, 3], meta=x[:, 4], far=x[:, 5])
+    def of_entries(x: np.ndarray) -> pd.DataFrame:
+        return frame(LONG, src=x[:, 1], key=x[:, 0], doc_id=x[:, 2], line=x[:, 3], meta=x[:, 4], far=x[:, 5])
 
     def of_lists(lists: Lists, x: np.ndarray) -> Iterator[pd.DataFrame]:
         pairs, long = lists.feed(x)
         yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1])
-        yield of_entries(long, LONG)
+        yield of_entries(long)
 
     def whole(x: np.ndarray) -> Iterator[pd.DataFrame]:
         x = x[np.argsort(x[:, 0])]
@@ -430,8 +451,12 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
             part = x[a:b]
             pairs, more, unsure = candidates(part, percent, best, None if asked is None else asked.has(part[:, 1]))
             yield frame(PAIR, src=pairs[:, 0], dst=pairs[:, 1], dist=pairs[:, 2])
-            yield frame(MORE, src=more[:, 0], key=more[:, 1])
-            yield of_entries(part[unsure], UNSURE)
+            yield frame(MORE, src=more[:, 0], key=more[:, 1], dist=more[:, 2])
+            if len(unsure):
+                rich = part[unsure]
+                of = np.flatnonzero(np.append(True, rich[1:, 0] != rich[:-1, 0]))
+                ends = np.append(of[1:], len(rich))
+                yield frame(UNSURE, key=rich[of, 0], dist=ends - of, packed=[packed(rich[a:b]) for a, b in zip(of.tolist(), ends.tolist(), strict=True)])
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, lists, parts, n = None, None, [], 0
@@ -457,7 +482,23 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
         yield from done()
 
     dealt = found.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(textnum.tidy(read), "kind byte, src long, dst long, dist int, key long, doc_id long, line long, meta long, far long")
+    return dealt.mapInPandas(textnum.tidy(read), "kind byte, src long, dst long, dist int, key long, doc_id long, line long, meta long, far long, packed binary")
+
+
+def in_open_lists(lists: DataFrame, percent: int, asked: Bloom) -> DataFrame:
+    """src, dst, dist: classes in `asked` with all earlier ones of their lists that are possible, from the UNSURE rows of near_in_lists()."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            n = f["dist"].to_numpy(dtype=np.int64)
+            cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // AT_ONCE, prepend=-1)).tolist()  # whole lists of about AT_ONCE entries
+            for i, j in zip(cuts, [*cuts[1:], len(n)], strict=True):
+                x = np.concatenate([unpacked(b, m) for m, b in zip(n[i:j].tolist(), f["packed"].iloc[i:j], strict=True)])
+                x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 0]))]
+                pairs = candidates(x, percent, None, asked.has(x[:, 1]))[0]
+                yield pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1], "dist": pairs[:, 2]})
+
+    return lists.select("dist", "packed").mapInPandas(textnum.tidy(read), "src long, dst long, dist int")
 
 
 class Bloom:
@@ -583,25 +624,28 @@ def gone_lines(docs: DataFrame, *, percent: int = 80, best: int = BEST, full: in
     counts, lines = counted(docs)
     firsts = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.count(F.lit(1)).alias("c")).select("node", "p.*", "c"), "line-firsts")
     buckets = min(200_000, max(32, lines.count() * 10 // 200_000))  # of about 200,000 entries
-    found = entries(docs, counts, percent, buckets)
+    first = Bloom(firsts, "doc_id", "line")
+    found = entries(docs, counts, percent, buckets, first=first)
     near = written(near_in_lists(found, percent, best=best, full=full, together=together), "line-pairs")
-    pairs = lambda df: df.where(f"kind = {PAIR}").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("dist").alias("dist"))
-    gone = settled(pairs(near), firsts, docs, percent)
-    asked = near.where(f"kind = {MORE}").select(F.col("src").alias("node"), "key").distinct()
+    distinct = lambda df: df.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("dist").alias("dist"))
+    gone = settled(distinct(near.where(f"kind = {PAIR}")), firsts, docs, percent)
+    asked = near.where(f"kind = {MORE}").groupBy(F.col("src").alias("node"), "key").agg(F.min("dist").alias("out"))
     asked = written(asked.join(gone, "node", "left_anti"), "line-asked")
-    lists = near.where(f"kind = {LONG}").unionByName(near.where(f"kind = {UNSURE}").join(asked.select("key").distinct(), "key", "left_semi"))
-    rest = lists.groupBy("key", F.col("src").alias("node"), "meta", "far").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.max("kind").alias("kind"))
+    more = []
+    if not asked.where("out = 1").isEmpty():  # their lists, picked out before anything moves
+        lists = near.where(f"kind = {UNSURE}").where(Bloom(asked.where("out = 1"), "key").column("key"))
+        more.append(in_open_lists(lists, percent, Bloom(asked, "node")))
+    rest = near.where(f"kind = {LONG}").groupBy("key", F.col("src").alias("node"), "meta", "far").agg(F.min(F.struct("doc_id", "line")).alias("p"))
     rest = written(rest, "line-rest")
-    if not rest.isEmpty():
-        # of a long list all that are not gone are open, of the others those that ask for more
-        open_ones = rest.where(f"kind = {LONG}").join(gone, "node", "left_anti").unionByName(rest.where(f"kind = {UNSURE}").join(asked, ["node", "key"], "left_semi"))
-        more = of_long_lists(written(open_ones, "line-open"), rest, percent)
-        gone = written(gone.union(settled(more, firsts, docs, percent)).distinct(), "lines-gone")
-        asked = written(asked.join(rest.select("key").distinct(), "key", "left_anti").join(gone, "node", "left_anti"), "line-asked")
+    if not rest.isEmpty():  # all that are not gone are open
+        more.append(of_long_lists(written(rest.join(gone, "node", "left_anti"), "line-open"), rest, percent))
+    if more:
+        gone = written(gone.union(settled(distinct(reduce(DataFrame.union, more)), firsts, docs, percent)).distinct(), "lines-gone")
+    asked = written(asked.where("out = 0").join(gone, "node", "left_anti"), "line-asked")
     if not asked.isEmpty():  # all their candidates, of which the closest were not similar, from the lists that have more
-        found = entries(docs, counts, percent, buckets, only=Bloom(asked, "key"))
+        found = entries(docs, counts, percent, buckets, first=first, only=Bloom(asked, "key"))
         again = near_in_lists(found, percent, best=None, full=full, together=together, asked=Bloom(asked, "node"))
-        gone = written(gone.union(settled(pairs(again), firsts, docs, percent)).distinct(), "lines-gone")
+        gone = written(gone.union(settled(distinct(again.where(f"kind = {PAIR}")), firsts, docs, percent)).distinct(), "lines-gone")
     # lines of classes that are gone, and those of other classes that are not the first
     hit = firsts.select("node", F.struct("doc_id", "line").alias("p"), "c").join(gone.withColumn("gone", F.lit(True)), "node", "left").where("gone or c > 1")
     out = lines.join(written(hit, "line-hit"), "node").where(F.col("gone") | (F.struct("doc_id", "line") != F.col("p")))
@@ -630,7 +674,8 @@ def deduplicated(docs: DataFrame, *, percent: int = 80, sent: int = SENT) -> Dat
         some = marked.where("_hit").drop("_hit").join(lost_lines, "_id", "left")
     every = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("n_lines") - 1), F.col("_lines"))
-    cut = F.array_join(F.transform(stay, lambda i: F.element_at(every, (i + 1).cast("int"))), "\n")
+    # the lines are a variable of the outer function: written into the inner one, the text would be split again for each of its lines
+    cut = F.element_at(F.transform(F.array(every), lambda lines: F.array_join(F.transform(stay, lambda i: F.element_at(lines, (i + 1).cast("int"))), "\n")), 1)
     lost = F.col("_lines").isNotNull() & F.col("text").isNotNull() & (F.col("n_lines") > 0)
     # of rows that repeat an id, each has only those of the numbers that its text has
     some = some.withColumn("n_gone", F.when(lost, F.col("n_lines") - F.size(stay)).otherwise(0).cast("long")).withColumn("text", F.when(lost, cut).otherwise(F.col("text")))
