@@ -251,16 +251,17 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     """The rows of near_duplicates(), over the tables that it works with."""
     table = written(sketches(docs, k=k), "sketches")
     real = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    firsts = real.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    classes = real.join(firsts, "node").where(F.col("doc_id") == F.col("first_id")).dropDuplicates(["node"])
-    classes = written(classes.select("node", "first_id", "n", "registers", "bands", "parities"), "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    classes = written(real.groupBy("node").agg(F.min("doc_id").alias("first_id")), "classes")
+    banded = real.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band")
-    shared = written(shared, "shared")  # of known size: sent to all tasks where it is small
+    shared = written(shared, "shared")
+    # what shares no band with another class is left out before anything else of it moves
+    banded = banded.where(Bloom(shared, "band").column("band")).distinct()
     banded = written(banded.join(shared, "band"), "bands")
     members = written(banded.select("node").distinct(), "members")
     sets = written(full_sets(docs, members, k=k), "sets")
-    cards = written(classes.select("node", "n", "registers", "parities").join(members, "node", "left_semi"), "cards")
+    cards = real.where(Bloom(members, "node").column("node")).select("node", "n", "registers", "parities").join(members, "node", "left_semi")
+    cards = written(cards.dropDuplicates(["node"]), "cards")
     links = docs.sparkSession.createDataFrame([], "src long, dst long")
     roots = links.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     for turn in CENTRES:
@@ -280,7 +281,10 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     bits = [F.element_at("parities", i + 1).alias(f"bit{i}") for i in range((M + ODD) // 64)]
     held = written(held.join(cards.select("node", "n", *bits), "node"), "apart")
     own = sets.join(held.select("node"), "node", "left_semi")
-    keyed = written(prefixes(own, bucket_counts(own), percent), "prefixes")
+    keyed = written(prefixes(own, bucket_counts(own), percent).join(held.select("node", "root"), "node"), "prefixes")
+    # keys of one component only bring no pair together, and would crowd out those that are known below
+    useful = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    keyed = written(keyed.drop("root").join(useful, "key", "left_semi"), "shared-prefixes")
     # a pair comes out at the first key by rarity that both are known to have, the one that the positional filter is about, not at each
     first = F.slice(F.sort_array(F.collect_set(F.struct("place", "key"))), 1, KNOWN)
     few = keyed.groupBy("node").agg(F.transform(first, lambda x: x["key"]).alias("first"))
