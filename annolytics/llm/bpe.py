@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from annolytics.llm import textnum
+
 #: Chunks for which splitting by class and lower-casing is the same as what the tokenizer does: no apostrophe (contractions), no "<"
 #: (special tokens), and of letters beyond ASCII only those of Latin-1 and Latin Extended-A that compose with nothing.
 PLAIN = re.compile(rb"(?:[!-&(-;=-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
@@ -154,6 +156,7 @@ class ChunkEncoder:
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
+textnum.CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,10 +34,33 @@ def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to the session's Python workers BATCH_BYTES at a time, or fewer where it asks for fewer.
+
+    By number (10,000 rows) a batch of whole texts has tens of MB, which the JVM, the worker and its objects hold several times over.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with contextlib.suppress(Exception):  # a Spark without such a bound
+        held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark._jsparkSession.sessionState().conf().getConfString(key))
+        if not 0 < held <= BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
+
+
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are over: they stay on disk until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end, but for those to keep: what leaves the block must not read any other."""
     _open.append([])
+    small_batches(spark)
     try:
         yield
     finally:

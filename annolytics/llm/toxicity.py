@@ -11,26 +11,31 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from annolytics.llm import textnum
+from annolytics.llm.tables import small_batches
 
 #: Documented bound of labelled rows in the index.
 MAX_EXAMPLES = 10_000
 VOCABULARY, STEMS, GRAMS, BLOCK, K = 4096, (4, 5, 6, 7), (5,), 64, 15
 #: Terms are known by their hash in a space of this size, so that counting and looking them up takes tables of fixed size.
 SPACE = 1 << 22
+#: Characters of texts whose terms a worker holds arrays for at once.
+CHARACTERS = 1 << 18
+#: Vectors whose scores a worker remembers.
+REMEMBERED = 8192
 #: Least chi-squared statistic of a term of the vocabulary: about one in a million terms passes by chance.
 LEAST_CHI = 24.0
 
 
-def term_hashes(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def term_hashes(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, texts, owner, hash of each term occurrence) by blocks: words, their first bytes (STEMS) and the grams inside them (GRAMS)."""
-    for i, j, data, lengths in textnum.blocks(texts):
+    for i, j, data, lengths in textnum.blocks(texts, size):
         h, start, end = textnum.words(data)
         ends = np.cumsum(lengths + 1)
         owner = np.searchsorted(ends, start, side="right")
@@ -62,7 +67,7 @@ class Vocabulary:
         """(terms, weights) of each text: log-scaled counts times idf, of unit length; no terms for a text without any."""
         place = np.full(SPACE, -1, dtype=np.int32)
         place[self.slots] = np.arange(len(self.slots))
-        for _, n, owner, value in term_hashes(texts):
+        for _, n, owner, value in term_hashes(texts, CHARACTERS):
             term = place[(value & np.uint64(SPACE - 1)).astype(np.int64)]
             hit = np.flatnonzero(term >= 0)
             pair, count = np.unique(owner[hit] * VOCABULARY + term[hit], return_counts=True)
@@ -183,14 +188,15 @@ class Model:
     values: np.ndarray
     alone: float  # the score of a text that shares no term with any example
     ids: np.ndarray  # doc_id of each position in the index
+    memo: dict[bytes, tuple[float, list[int]]] = field(default_factory=dict)  # scores and evidence of vectors met before
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
         """Scores, and the doc_ids of the nearest examples as evidence."""
-        out, evidence, memo = [], [], {}
+        out, evidence, memo = [], [], self.memo
         for terms, weights in self.vocabulary.vectors(texts):
             key = terms.tobytes() + np.round(weights, 9).tobytes()
             if key not in memo:
-                if len(memo) > 20_000:
+                if len(memo) >= REMEMBERED:
                     memo.clear()
                 at, _ = self.index.nearest(terms, weights, 3) if len(terms) else (np.zeros(0, dtype=np.int64), None)
                 memo[key] = self.score(terms, weights), self.ids[at].tolist()
@@ -216,7 +222,7 @@ def document_counts(docs: DataFrame, slots: np.ndarray) -> tuple[int, np.ndarray
         total, n = np.zeros(len(shared.value), dtype=np.int64), 0
         for frame in frames:
             n += len(frame)
-            for *_, owner, value in term_hashes(frame["text"].tolist()):
+            for *_, owner, value in term_hashes(frame["text"].tolist(), CHARACTERS):
                 term = place[(value & np.uint64(SPACE - 1)).astype(np.int64)]
                 hit = np.flatnonzero(term >= 0)
                 total += np.bincount(np.unique(owner[hit] * len(total) + term[hit]) % max(1, len(total)), minlength=len(total))
@@ -273,6 +279,7 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, *, most: int = MAX_EXAMPLES) -> Model:
     """A model from the labelled rows outside the held-out fifth: at most `most`, the lowest by a seeded hash of their id."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # a document and its label have the same hash: the ids are drawn first, and only their texts travel
@@ -291,6 +298,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     Only the whole text counts. A text without a term of the vocabulary, null and empty ones included, gets the share of toxic among
     such examples. Equal texts get equal scores. Columns of docs named score, predicted or evidence are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     @F.pandas_udf("score double, evidence array<long>")
