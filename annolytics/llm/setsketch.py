@@ -8,7 +8,8 @@ close to their Jaccard similarity.
 Copies (equal sets) are one class. Classes that agree in a band are candidates. In each of a few rounds a class is compared with a few
 others only, centres of its bands that it is not connected to yet, and the links found are contracted: a group of n near copies costs a multiple of n comparisons, not n * n. Then members of a band that are still apart must share one of their rarest
 shingles (prefix filter: two similar sets always do, while texts that are alike only in passages that many share don't), and sizes and
-parities must allow it (those of registers, and exactly those of ODD parts of the shingles); what is left is estimated and verified. So every candidate pair is verified, ruled out or known
+parities must allow it (those of registers, and exactly those of ODD parts of the shingles). Of these pairs each class's closest is
+verified first, where they are many, and of the others only those whose ends are still apart then. So every candidate pair is verified, ruled out or known
 to be connected, and the components are those of all links among candidates. With 42 bands of 6 registers a link of similarity 0.8 is no candidate with a probability of 3e-6,
 one of 0.85 with 5e-10.
 """
@@ -34,6 +35,8 @@ LIMIT = 2**16 - 2
 CENTRES = (0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D)
 #: Centres that a class is compared with in a round.
 MEET = 4
+#: Rounds in which only the closest pair of each class is verified, where there are many more pairs than classes.
+TURNS = 6
 #: Keys that a class carries to tell at which of them it meets another first.
 KNOWN = 12
 #: Parities of a set's shingles by hash: sets differ in at least as many shingles as parities.
@@ -264,14 +267,17 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     cards = written(cards.dropDuplicates(["node"]), "cards")
     links = docs.sparkSession.createDataFrame([], "src long, dst long")
     roots = links.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+    tried = links  # pairs of earlier rounds
     for turn in CENTRES:
         held = apart(banded, roots, turn)
         # a class meets those centres of other components that most of its bands have
         star = held.where("root <> centre_root").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("c"))
         star = star.withColumn("at", F.row_number().over(W.partitionBy("node").orderBy(F.col("c").desc(), "centre"))).where(F.col("at") <= MEET)
-        star = written(star.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct(), "star")
+        star = star.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
+        star = written(star.join(tried, ["src", "dst"], "left_anti"), "star")
         if star.isEmpty():
-            break
+            continue
+        tried = tried.union(star)
         found = written(confirmed(written(likely(star, cards, percent=percent), "likely"), sets, percent=percent), "links")
         if not found.isEmpty():
             links = links.union(found)
@@ -301,13 +307,21 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
         & ((F.col("a.place") == 255) | (F.col("b.place") == 255) | (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= overlap))
         & (F.coalesce(F.get(F.array_intersect("a.first", "b.first"), F.lit(0)), F.col("a.key")) == F.col("a.key"))
     )
-    rest = a.join(b, open_pair).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
-    rest = written(likely(rest, cards, percent=percent), "rest")
-    if not rest.isEmpty():
-        more = written(confirmed(rest, sets, percent=percent), "links")
+    rest = a.join(b, open_pair).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), differ(bit("a", M, M + ODD), bit("b", M, M + ODD)).alias("apart"))
+    rest = written(rest.groupBy("src", "dst").agg(F.min("apart").alias("apart")), "rest")
+    few, turn = 2 * held.count(), 0
+    while n := rest.count():
+        every = n <= few or turn == TURNS
+        pairs = written(likely(rest.select("src", "dst"), cards, percent=percent) if every else closest(rest), "pairs")
+        more = written(confirmed(pairs, sets, percent=percent), "links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
+        if every:
+            break
+        # of the others only those that are still apart; where the closest are not similar, all are looked at next
+        rest = written(between(rest.join(pairs, ["src", "dst"], "left_anti"), roots), "rest")
+        turn = TURNS if more.isEmpty() else turn + 1
     ends = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     of_class = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -318,6 +332,20 @@ def grouped(docs: DataFrame, *, k: int, percent: int) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+def closest(pairs: DataFrame) -> DataFrame:
+    """src, dst: of pairs (src, dst, apart) each end's with the least apart, ties to the smaller other end."""
+    sides = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("src", "dst"), ("dst", "src"))]
+    best = pairs.select("apart", F.explode(F.array(*sides)).alias("e")).groupBy("e.node").agg(F.min(F.struct("apart", "e.other")).alias("b"))
+    return best.select(F.least("node", "b.other").alias("src"), F.greatest("node", "b.other").alias("dst")).distinct()
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the pairs (src, dst, ...), those whose ends have different roots."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    both = pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return both.where(F.coalesce("_src", "src") != F.coalesce("_dst", "dst")).select(*pairs.columns)
+
+
 def apart(banded: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """node, root, band, and for bands of several components their centre (centre_root, and a class of it, centre), the smallest root
     after an exclusive or with turn."""
