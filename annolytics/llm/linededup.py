@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from annolytics.llm import textnum
-from annolytics.llm.tables import scratch, written
+from annolytics.llm.tables import scratch, swept, written
 
 #: Buckets of the word-count table: 8 MB, whatever the input.
 BUCKETS = 1 << 20
@@ -563,7 +563,13 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             common, total = textnum.in_common(f["ea"].tolist(), f["eb"].tolist())
             yield f.loc[100 * common >= percent * (total - common), ["src", "dst"]]
 
-    side = lambda node, e: sets.select(F.col("node").alias(node), F.col("elements").alias(e))
+    pairs = written(pairs, "line-to-verify")
+    n = pairs.count()
+
+    def side(node: str, e: str) -> DataFrame:  # the sets of these ends, picked out before anything moves
+        own = sets.where(Bloom(pairs, node, n=n).column("node"))
+        return own.select(F.col("node").alias(node), F.col("elements").alias(e))
+
     joined = pairs.join(side("src", "ea"), "src").join(side("dst", "eb"), "dst")
     return joined.select("src", "dst", "ea", "eb").mapInPandas(textnum.tidy(keep), "src long, dst long")
 
@@ -597,6 +603,7 @@ def settled(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int)
     pairs = written(placed(written(pairs, "line-near"), firsts), "line-candidates")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("node"), "pl.*"), F.struct(F.col("dst").alias("node"), "pe.*"))).alias("e")).select("e.*")
     sets = written(whole_sets(docs, written(ends.distinct(), "line-ends")), "line-sets")
+    swept(docs.sparkSession)
     first = written(pairs.groupBy("src").agg(F.min_by("dst", F.struct("dist", "dst")).alias("dst")), "line-closest")
     gone = written(similar(first, sets, percent).select("src"), "lines-gone")
     others = pairs.select("src", "dst").join(gone, "src", "left_anti").join(first, ["src", "dst"], "left_anti")
@@ -627,6 +634,7 @@ def gone_lines(docs: DataFrame, *, percent: int = 80, best: int = BEST, full: in
     first = Bloom(firsts, "doc_id", "line")
     found = entries(docs, counts, percent, buckets, first=first)
     near = written(near_in_lists(found, percent, best=best, full=full, together=together), "line-pairs")
+    swept(docs.sparkSession)  # the entries
     distinct = lambda df: df.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("dist").alias("dist"))
     gone = settled(distinct(near.where(f"kind = {PAIR}")), firsts, docs, percent)
     asked = near.where(f"kind = {MORE}").groupBy(F.col("src").alias("node"), "key").agg(F.min("dist").alias("out"))
