@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -52,8 +53,10 @@ def small_batches(spark: SparkSession) -> None:
 
 def swept(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are over: they stay on disk until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first only lets go of what holds them
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @contextlib.contextmanager
