@@ -356,11 +356,20 @@ def apart(banded: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one document of each group of near duplicates; columns as they are."""
-    found = near_duplicates(docs, k=k, percent=percent).where("kept").select("doc_id").where(F.col("doc_id").isNotNull())
-    found = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    key = docs.withColumn("_kept", F.col("doc_id").cast("long")).join(found.withColumnRenamed("doc_id", "_kept"), "_kept", "left")
-    once = key.where(F.col("doc_id").isNull() | (F.col("_rows") == 1))
-    # rows that repeat a kept id: one of them stays
-    again = key.where(F.col("_rows") > 1).dropDuplicates(["_kept"])
-    return once.unionByName(again).select(*docs.columns)
+    """docs without all but one document of each group of near duplicates; columns as they are.
+
+    Of ids that are kept and of those that aren't, or that several kept rows have, there is a bitmap each. A row that only one of them
+    may hold is settled where it lies; only the others move, to be joined by id.
+    """
+    found = near_duplicates(docs, k=k, percent=percent).where(F.col("doc_id").isNotNull())
+    found = written(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count_if("kept").alias("_rows")), "kept")
+    rows = docs.withColumn("_kept", F.col("doc_id").cast("long"))
+    stays, unsure = Bloom(found.where("_rows > 0"), "_kept").column("_kept"), Bloom(found.where("_rows <> 1"), "_kept").column("_kept")
+    rows = rows.withColumn("_stays", stays).withColumn("_unsure", unsure)
+    whole = rows.where(F.col("_kept").isNull() | (F.col("_stays") & ~F.col("_unsure")))
+    # of rows that repeat a kept id one stays
+    some = rows.where(F.col("_kept").isNotNull() & F.col("_stays") & F.col("_unsure")).join(found.where("_rows > 0"), "_kept")
+    parts = [whole, some.where(F.col("_rows") == 1)]
+    if not found.where("_rows > 1").isEmpty():
+        parts.append(some.where(F.col("_rows") > 1).dropDuplicates(["_kept"]))
+    return reduce(DataFrame.unionByName, [x.select(*docs.columns) for x in parts])
