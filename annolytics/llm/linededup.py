@@ -7,8 +7,8 @@ similarity at the threshold or above. Lines of equal sets are one class, represe
 2. Each class keeps the hashes of its prefix: the rarest words, of which two similar sets must share one.
 3. Sorted by prefix word and place, each class is compared with all earlier ones of the word's list by length, position and 108
    parities of the sets. Of what these leave possible it keeps the BEST closest, and says where there are more.
-4. Each class is verified on whole sets with its closest candidate, then, if that is not similar, with its others. As one similar
-   earlier line settles a class, n similar lines cost a multiple of n verifications.
+4. Each class is verified on whole sets with its closest candidate, then, if that is not similar, with its others, of which 512 parities
+   first rule out what they can. As one similar earlier line settles a class, n similar lines cost a multiple of n verifications.
 5. Lists of more than FULL classes, or of keys too frequent for one task, are first compared with the first of the list and the NEAR
    before each. The classes of these lists that are still open are joined with all earlier ones of their lists by key, a join that Spark
    may split. Of other lists in which a class has more candidates of doubtful closeness, such classes and their candidates are kept in
@@ -57,6 +57,10 @@ SHORT = 12
 BLOOM_BITS = 1 << 26
 #: A bitmap has at most so many bits: 128 MB.
 MOST_BITS = 1 << 30
+#: Of an entry's hash, where the places of its two bits begin: they don't overlap in a bitmap of MOST_BITS.
+SLOTS = (0, 34)
+#: Parities by which pairs are told apart before whole sets of theirs move.
+ODD = 512
 #: Stands for a null id in the order of lines: before all others.
 NO_ID = -(1 << 63)
 
@@ -186,6 +190,14 @@ def parities(element: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of(low), of(~low)
 
 
+def odd_parts(owner: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
+    """(n, ODD / 64) unsigned: the parities of the elements of each line in each of ODD parts of the hash space."""
+    at = (textnum.mix(element ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(32)) * np.uint64(ODD) >> np.uint64(32)
+    out = np.zeros(n * (ODD // 64), dtype=np.uint64)
+    np.bitwise_xor.at(out, owner * (ODD // 64) + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.reshape(n, ODD // 64)
+
+
 def possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Whether the packed sizes, places and parities (see entries) of two keys leave a similarity at the threshold possible."""
     nx, ny = ((x >> np.uint64(8)) & np.uint64(4095)).astype(np.int64), ((y >> np.uint64(8)) & np.uint64(4095)).astype(np.int64)
@@ -502,7 +514,7 @@ def in_open_lists(lists: DataFrame, percent: int, asked: Bloom) -> DataFrame:
 
 
 class Bloom:
-    """A broadcast bitmap of hashes of some columns, with about ten bits for each of n entries, MOST_BITS at most."""
+    """A broadcast bitmap of hashes of some columns, with about ten bits for each of n entries, MOST_BITS at most; an entry sets two."""
 
     def __init__(self, keys: DataFrame, *columns: str, n: int | None = None):
         n = keys.count() if n is None else n
@@ -511,24 +523,33 @@ class Bloom:
 
     def has(self, *values: np.ndarray) -> np.ndarray:
         """Whether these values may be among the entries: never false where they are."""
-        slot = xxhash_slots(*values, bits=self.bits)
-        return ((self.shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0
+        return both_set(self.shared.value, xxhash(*values))
 
     def column(self, *columns: str) -> Column:
         shared = self.shared
 
         @F.pandas_udf("boolean")
-        def seen(slot: pd.Series) -> pd.Series:
-            s = slot.to_numpy()
-            return pd.Series((shared.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0)
+        def seen(h: pd.Series) -> pd.Series:
+            return pd.Series(both_set(shared.value, h.to_numpy(dtype=np.int64).view(np.uint64)))
+
+        return seen(F.xxhash64(*columns))
 
-        return seen(F.pmod(F.xxhash64(*columns), F.lit(self.bits)))
+
+def both_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether both bits of these hashes are set."""
+    out = np.ones(len(h), dtype=bool)
+    for shift in SLOTS:  # the second is looked up only where the first is set
+        at = np.flatnonzero(out)
+        slot = slots(h[at], 8 * len(bitmap), shift)
+        out[at] = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+    return out
 
 
 def bloom(keys: DataFrame, *columns: str, bits: int = BLOOM_BITS) -> np.ndarray:
     """A bitmap of `bits` bits with those of the columns' hashes set, of known size on the driver."""
-    slot = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
-    parts = keys.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    h = keys.select(F.xxhash64(*columns).alias("h"))
+    slots = [F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(bits - 1)) + 1 for shift in SLOTS]
+    parts = h.select(F.explode(F.array(*slots)).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for b, part in parts.collect():
         out[(b - 1) * 4096 : b * 4096] = np.frombuffer(part, dtype=np.uint8)
@@ -536,7 +557,8 @@ def bloom(keys: DataFrame, *columns: str, bits: int = BLOOM_BITS) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """node, elements (binary): the sets of the lines of ends (node, doc_id, line), one row a node. Only their lines are read as words."""
+    """node, elements (binary), odd (binary, see odd_parts): the sets of the lines of ends (node, doc_id, line), one row a node. Only their
+    lines are read as words."""
     known = Bloom(ends, "doc_id", "line")
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -550,9 +572,13 @@ def whole_sets(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 node = set_hash(element, n)
                 ends = np.cumsum(n)
                 once = np.unique(node, return_index=True)[1]
-                yield pd.DataFrame({"node": node[once], "elements": [element[ends[h] - n[h] : ends[h]].tobytes() for h in once.tolist()]})
+                odd = odd_parts(owner, element, len(n))
+                yield pd.DataFrame({
+                    "node": node[once], "elements": [element[ends[h] - n[h] : ends[h]].tobytes() for h in once.tolist()],
+                    "odd": [odd[h].tobytes() for h in once.tolist()],
+                })
 
-    return ordered(docs).mapInPandas(textnum.tidy(make), "node long, elements binary").join(ends.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return ordered(docs).mapInPandas(textnum.tidy(make), "node long, elements binary, odd binary").join(ends.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -574,8 +600,32 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("src", "dst", "ea", "eb").mapInPandas(textnum.tidy(keep), "src long, dst long")
 
 
-def xxhash_slots(*values: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
-    """pmod(xxhash64(values...), bits) as Spark computes it for longs with seed 42."""
+def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (src, dst) of nodes, those that the sizes and parities of their whole sets leave possible: sets differ in at least as many
+    elements as parities. A pair moves with these few bytes of each set."""
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if f.empty:
+                continue
+            x, y = (np.frombuffer(b"".join(f[c]), dtype=np.uint64).reshape(len(f), -1) for c in ("oa", "ob"))
+            total = f["na"].to_numpy(dtype=np.int64) + f["nb"].to_numpy(dtype=np.int64)
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield f.loc[apart <= total - 2 * (-(-percent * total // (100 + percent))), ["src", "dst"]]
+
+    pairs = written(pairs, "line-to-sift")
+    n = pairs.count()
+
+    def side(node: str, s: str) -> DataFrame:
+        own = sets.where(Bloom(pairs, node, n=n).column("node"))
+        return own.select(F.col("node").alias(node), (F.octet_length("elements") / 8).cast("long").alias(f"n{s}"), F.col("odd").alias(f"o{s}"))
+
+    joined = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    return joined.select("src", "dst", "na", "nb", "oa", "ob").mapInPandas(textnum.tidy(keep), "src long, dst long")
+
+
+def xxhash(*values: np.ndarray) -> np.ndarray:
+    """xxhash64(values...) as Spark computes it for longs with seed 42, unsigned."""
     p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
     h = np.uint64(42)
@@ -586,7 +636,16 @@ def xxhash_slots(*values: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
             h = (h ^ (h >> np.uint64(33))) * p2
             h = (h ^ (h >> np.uint64(29))) * p3
             h ^= h >> np.uint64(32)
-    return (h & np.uint64(bits - 1)).astype(np.int64)
+    return h
+
+
+def slots(h: np.ndarray, bits: int, shift: int) -> np.ndarray:
+    return ((h >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def xxhash_slots(*values: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
+    """Where the first bits of entries are."""
+    return slots(xxhash(*values), bits, SLOTS[0])
 
 
 def placed(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -607,6 +666,7 @@ def settled(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int)
     first = written(pairs.groupBy("src").agg(F.min_by("dst", F.struct("dist", "dst")).alias("dst")), "line-closest")
     gone = written(similar(first, sets, percent).select("src"), "lines-gone")
     others = pairs.select("src", "dst").join(gone, "src", "left_anti").join(first, ["src", "dst"], "left_anti")
+    others = sifted(others, sets, percent)  # many, and most of them are not similar
     return written(gone.union(similar(others, sets, percent).select("src")).distinct().select(F.col("src").alias("node")), "lines-gone")
 
 
