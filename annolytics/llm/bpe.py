@@ -14,6 +14,8 @@ import numpy as np
 
 from annolytics.llm import textnum
 
+#: Chunks merged in step at once, and characters of texts split at once: a worker's arrays and words are bounded by them.
+TOGETHER, CHARACTERS = 1 << 14, 1 << 18
 #: Chunks for which splitting by class and lower-casing is the same as what the tokenizer does: no apostrophe (contractions), no "<"
 #: (special tokens), and of letters beyond ASCII only those of Latin-1 and Latin Extended-A that compose with nothing.
 PLAIN = re.compile(rb"(?:[!-&(-;=-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
@@ -129,12 +131,13 @@ class ChunkEncoder:
             else:
                 other.append(c)
         if plain:
-            self.memo.update(zip(plain, self.merged(lowered), strict=True))
+            for i in range(0, len(plain), TOGETHER):
+                self.memo.update(zip(plain[i : i + TOGETHER], self.merged(lowered[i : i + TOGETHER]), strict=True))
         if other:
             found = self.tokenizer.encode_batch([c.decode() for c in other], add_special_tokens=False)
             self.memo.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(other, found, strict=True))
 
-    def encode(self, texts: list[str], *, block: int = 2_000_000):
+    def encode(self, texts: list[str], *, block: int = CHARACTERS):
         """Yields the bytes of each text's ids, in order; works on `block` characters at a time."""
         i = 0
         while i < len(texts):

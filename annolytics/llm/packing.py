@@ -15,7 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from annolytics.llm.tables import written
+from annolytics.llm import bpe, textnum
+from annolytics.llm.tables import small_batches, written
 
 END_ID = 1
 #: Pieces packed together in one task.
@@ -27,13 +28,11 @@ def pieces(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from annolytics.llm.bpe import encoder
-
         salt = 0
         for frame in frames:
             rows = []
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            for doc_id, ids in zip(frame["doc_id"].tolist(), encoder(tokenizer).encode(texts), strict=True):
+            for doc_id, ids in zip(frame["doc_id"].tolist(), bpe.encoder(tokenizer).encode(texts), strict=True):
                 ids = memoryview(ids + end)
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
@@ -44,8 +43,10 @@ def pieces(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
+    small_batches(docs.sparkSession)
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return asked.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    # a lambda, as the encoders to keep are those of the worker
+    return asked.mapInPandas(lambda frames: textnum.tidy(cut, bpe._ENCODERS)(frames), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 def assign(lengths: np.ndarray, *, capacity: int, linear: float, quadratic: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

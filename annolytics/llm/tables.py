@@ -8,7 +8,7 @@ import time
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from annolytics.session import shared_folder
 
@@ -59,6 +59,16 @@ def swept(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def shrunk(spark: SparkSession) -> None:
+    """Have each executor collect its garbage and hand back the heap that it frees.
+
+    A heap stays as large as any step so far has made it, and the workers of the next step come on top of it.
+    """
+    n = spark.sparkContext.defaultParallelism  # a task a core, so that no executor goes without
+    with contextlib.suppress(Exception):  # a session that allows no such call keeps its heaps
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end, but for those to keep: what leaves the block must not read any other."""
