@@ -32,6 +32,7 @@ def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     if _open and not keep:
         _open[-1].append(path)
+    trimmed(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -57,13 +58,41 @@ def swept(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.5)
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> str:
+    """Have the driver's JVM hand back memory outside its heap that it has freed; what it says of it, or nothing where it has no such command.
+
+    The C library keeps freed memory for each of many threads: Spark starts one for each exchange, and code is compiled for each plan.
+    """
+    with contextlib.suppress(Exception):
+        jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+        named = jvm.java.lang.Class.forName
+
+        def made(kind, *values):
+            out = array(kind, len(values))
+            for i, v in enumerate(values):
+                out[i] = v
+            return out
+
+        # by reflection: the server's own class is hidden from callers
+        kinds = made(jvm.java.lang.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", kinds)
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given, types = made(jvm.java.lang.Object, array(jvm.java.lang.String, 0)), made(jvm.java.lang.String, "[Ljava.lang.String;")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(invoke.invoke(server, made(jvm.java.lang.Object, commands, "systemTrimNativeHeap", given, types)))
+    return ""
 
 
 def shrunk(spark: SparkSession) -> None:
-    """Have each executor collect its garbage and hand back the heap that it frees.
+    """Have the driver and each executor collect their garbage and hand back the heap that they free.
 
     A heap stays as large as any step so far has made it, and the workers of the next step come on top of it.
     """
+    spark._jvm.System.gc()
+    trimmed(spark)
     n = spark.sparkContext.defaultParallelism  # a task a core, so that no executor goes without
     with contextlib.suppress(Exception):  # a session that allows no such call keeps its heaps
         spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()

@@ -83,11 +83,12 @@ class Vocabulary:
 def vocabulary(texts: list[str | None], labels: np.ndarray, *, size: int = VOCABULARY, least: int = 5) -> Vocabulary:
     """The terms of toxic texts with the highest chi-squared statistic between presence and label, among those of `least` examples or more."""
     count, in_toxic = np.zeros(SPACE, dtype=np.int32), np.zeros(SPACE, dtype=np.int32)
-    for i, _, owner, value in term_hashes(texts):
+    for i, _, owner, value in term_hashes(texts, CHARACTERS):  # on the driver, whose memory is small
         pair = np.unique(owner * SPACE + (value & np.uint64(SPACE - 1)).astype(np.int64))
         slot = pair % SPACE
-        count += np.bincount(slot, minlength=SPACE).astype(np.int32)
-        in_toxic += np.bincount(slot[labels[i + pair // SPACE] == 1], minlength=SPACE).astype(np.int32)
+        for total, mine in ((count, slot), (in_toxic, slot[labels[i + pair // SPACE] == 1])):
+            met, n = np.unique(mine, return_counts=True)
+            total[met] += n.astype(np.int32)
     n, n1 = len(labels), int((labels == 1).sum())
     slots = np.flatnonzero((count >= least) & (count < n))
     c, t = count[slots].astype(float), in_toxic[slots].astype(float)
@@ -288,6 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = MAX_EXAMPLES) -> Mo
     found = rows.toPandas().sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id").head(most)
     textnum.prepare()  # the driver's memory counts too
     model = fit(found["doc_id"].tolist(), [t if isinstance(t, str) else None for t in found["text"]], found["toxic"].to_numpy(dtype=int), counts=lambda slots: document_counts(docs, slots))
+    del found
     textnum.release()
     return model
 
