@@ -74,13 +74,15 @@ def line_sets(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.nda
         h, start, _ = textnum.words(data)
         ends = np.cumsum(lengths + 1)
         breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
-        text = np.searchsorted(ends, start, side="right")
-        before = np.searchsorted(breaks, np.append(0, ends[:-1]))  # line breaks before each text
-        number = np.searchsorted(breaks, start) - before[text]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
-        owner, element = textnum.distinct(np.cumsum(new) - 1, h)
-        yield i, text[new], number[new], owner, element, np.bincount(owner, minlength=int(new.sum()))
+        # lines, looked up among the words: words are many more
+        before = np.searchsorted(breaks, np.append(0, ends))  # line breaks before each text
+        many = np.diff(before) + 1
+        text = np.repeat(np.arange(j - i), many)
+        number = np.arange(len(text)) - np.repeat(before[:-1] + np.arange(j - i), many)
+        words = np.diff(np.searchsorted(start, np.insert(breaks, before[1:], ends - 1)), prepend=0)
+        full = np.flatnonzero(words)
+        owner, element = textnum.distinct(np.repeat(np.arange(len(full)), words[full]), h)
+        yield i, text[full], number[full], owner, element, np.bincount(owner, minlength=len(full))
 
 
 def table_rows(total: np.ndarray) -> pd.DataFrame:
@@ -134,17 +136,15 @@ class Keys:
         self.rarity = (counts.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint64)
 
     def by_rarity(self, owner: np.ndarray, element: np.ndarray) -> np.ndarray:
-        """The elements of each line by ascending rarity (counts to eight bits), then by themselves."""
+        """The elements of each line by ascending rarity (counts to eight bits), then by themselves; they come sorted in each line."""
         if not len(owner):
             return element
         rarity = self.rarity[(element & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        bits = max(1, int(owner[-1]).bit_length())
-        joint = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (rarity << np.uint64(48 - bits)) | (element >> np.uint64(16 + bits))
-        order = np.argsort(joint)
-        joint = joint[order]
-        if (joint[1:] == joint[:-1]).any():  # unlike elements whose leading bits are the same
-            order = np.lexsort((element, rarity, owner))
-        return element[order]
+        bits, place = max(1, int(owner[-1]).bit_length()), len(element).bit_length()
+        if bits + 16 + place > 64:  # a text of billions of words
+            return element[np.lexsort((element, rarity, owner))]
+        joint = np.sort((owner.astype(np.uint64) << np.uint64(16 + place)) | (rarity << np.uint64(place)) | np.arange(len(element), dtype=np.uint64))
+        return element[(joint & np.uint64((1 << place) - 1)).astype(np.int64)]
 
     def __call__(self, owner: np.ndarray, element: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, key, place): two similar sets that differ share a key. Of a pair, the smaller set's size decides the kind of key.
@@ -440,9 +440,11 @@ def near_in_lists(found: DataFrame, percent: int, *, best: int | None = BEST, fu
         yield of_entries(long)
 
     def whole(x: np.ndarray) -> Iterator[pd.DataFrame]:
-        x = x[np.argsort(x[:, 0])]
-        lead = np.append(True, x[1:, 0] != x[:-1, 0])
-        x = x[~(lead & np.append(lead[1:], True))]  # keys of one class only
+        key = np.ascontiguousarray(x[:, 0])
+        order = np.argsort(key)
+        key = key[order]
+        lead = np.append(True, key[1:] != key[:-1])
+        x = x[order[~(lead & np.append(lead[1:], True))]]  # without keys of one class only, which are most
         if not len(x):
             return
         x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 0]))]
