@@ -16,9 +16,14 @@ from annolytics.llm import textnum
 
 #: Chunks merged in step at once, and characters of texts split at once: a worker's arrays and words are bounded by them.
 TOGETHER, CHARACTERS = 1 << 14, 1 << 18
-#: Chunks for which splitting by class and lower-casing is the same as what the tokenizer does: no apostrophe (contractions), no "<"
-#: (special tokens), and of letters beyond ASCII only those of Latin-1 and Latin Extended-A that compose with nothing.
-PLAIN = re.compile(rb"(?:[!-&(-;=-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+")
+#: Bytes of a chunk beyond which it is left to the tokenizer: in step one pair of a piece is merged at a time.
+LONGEST = 256
+#: Chunks (any number, a line each) for which splitting by class and lower-casing is the same as what the tokenizer does: no apostrophe
+#: (contractions), no "<" (special tokens), and of letters beyond ASCII only those of Latin-1 and Latin Extended-A, which compose with
+#: nothing here, but for the dotted capital I, whose lower case is two characters.
+PLAIN = re.compile(r"[\n!-&(-;=-~À-ÖØ-öø-įı-ſ]+")
+#: Texts that may be lower-cased whole before they are split: the tokenizer does so too, after it has looked for special tokens.
+EVEN = re.compile(r"[\t-\r -;=-~À-ÖØ-öø-įı-ſ]*")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -36,7 +41,9 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
+        #: Ids by chunk, and those of the memo before, from which chunks seen again come back: half of `most` each, or one block's chunks.
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         model = json.load(open(path, encoding="utf-8"))["model"]
         vocab = model["vocab"]
         names = byte_symbols()
@@ -120,19 +127,26 @@ class ChunkEncoder:
         return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.memo) + len(chunks) > self.most:
-            self.memo.clear()
-        plain, lowered, other = [], [], []
-        for c in chunks:
-            low = c.lower() if c.isascii() else c.decode().lower().encode()
-            if PLAIN.fullmatch(low) and PLAIN.fullmatch(c):
-                plain.append(c)
-                lowered.append(low)
-            else:
-                other.append(c)
-        if plain:
-            for i in range(0, len(plain), TOGETHER):
-                self.memo.update(zip(plain[i : i + TOGETHER], self.merged(lowered[i : i + TOGETHER]), strict=True))
+        """Have the memo hold all of chunks. Only they are gone through, never the memo, which may be much larger."""
+        fresh = chunks.difference(self.memo)
+        if len(self.memo) + len(fresh) > self.most // 2:
+            self.memo, self.older = {}, self.memo
+            fresh = chunks
+        order = list(fresh.difference(self.older))
+        if len(order) < len(fresh):
+            self.memo.update((c, self.older[c]) for c in fresh.difference(order))
+        if not order:
+            return
+        whole = b"\n".join(order).decode()
+        other = []
+        if max(map(len, order)) > LONGEST or not PLAIN.fullmatch(whole):
+            plain = []
+            for c, name in zip(order, whole.split("\n"), strict=True):
+                (plain if len(c) <= LONGEST and PLAIN.fullmatch(name) else other).append(c)
+            order, whole = plain, b"\n".join(plain).decode()
+        lowered = whole.lower().encode().split(b"\n")
+        for i in range(0, len(order), TOGETHER):
+            self.memo.update(zip(order[i : i + TOGETHER], self.merged(lowered[i : i + TOGETHER]), strict=True))
         if other:
             found = self.tokenizer.encode_batch([c.decode() for c in other], add_special_tokens=False)
             self.memo.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(other, found, strict=True))
@@ -145,13 +159,8 @@ class ChunkEncoder:
             while j < len(texts) and (j == i or n + len(texts[j]) <= block):
                 n += len(texts[j])
                 j += 1
-            split = [t.encode("utf-8", "replace").split() for t in texts[i:j]]
-            fresh = set().union(*split) - self.memo.keys()
-            if fresh:
-                held = len(self.memo)
-                self.learn(fresh)
-                if len(self.memo) < held + len(fresh):  # it was cleared: chunks known before are needed again
-                    self.learn(set().union(*split) - self.memo.keys())
+            split = [(t.lower() if EVEN.fullmatch(t) else t).encode("utf-8", "replace").split() for t in texts[i:j]]
+            self.learn(set().union(*split))
             memo = self.memo
             for words in split:
                 yield b"".join(map(memo.__getitem__, words))
